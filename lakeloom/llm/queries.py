@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import byte_bpe
+from lakeloom.llm import byte_bpe, iso_media, packing, token_count
 from lakeloom.llm.common import table
 
 
@@ -13,7 +13,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe,)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iso_media.store_texts(table(spark, sf_dir, "documents"), keep_media=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op7_token_count, op10_iso_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
