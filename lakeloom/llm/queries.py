@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import byte_bpe, iso_media, packing, token_count
+from lakeloom.llm import byte_bpe, iso_media, packing, token_count, warc
 from lakeloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
@@ -25,7 +29,7 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.store_texts(table(spark, sf_dir, "documents"), keep_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op7_token_count, op10_iso_media)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op6_warc, op7_token_count, op10_iso_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
