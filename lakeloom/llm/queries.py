@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import byte_bpe, iso_media, packing, token_count, warc
+from lakeloom.llm import byte_bpe, iso_media, packing, quality, secrets, token_count, warc
 from lakeloom.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
@@ -25,11 +29,15 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.store_texts(table(spark, sf_dir, "documents"), keep_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_packing, op6_warc, op7_token_count, op10_iso_media)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op4_packing, op6_warc, op7_token_count, op8_quality_rules, op10_iso_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
