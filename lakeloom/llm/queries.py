@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import byte_bpe, iso_media, packing, quality, secrets, token_count, warc
+from lakeloom.llm import byte_bpe, iso_media, packing, quality, secrets, token_count, toxicity, warc
 from lakeloom.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,7 +42,7 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.store_texts(table(spark, sf_dir, "documents"), keep_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op4_packing, op6_warc, op7_token_count, op8_quality_rules, op10_iso_media)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op4_packing, op5_toxicity, op6_warc, op7_token_count, op8_quality_rules, op10_iso_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
