@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import byte_bpe, iso_media, packing, quality, secrets, token_count, toxicity, warc
+from lakeloom.llm import byte_bpe, iso_media, jaccard_join, packing, quality, secrets, token_count, toxicity, warc
 from lakeloom.llm.common import table
 
 
@@ -38,11 +38,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), 3, 90)
+
+
 def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.store_texts(table(spark, sf_dir, "documents"), keep_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op4_packing, op5_toxicity, op6_warc, op7_token_count, op8_quality_rules, op10_iso_media)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op4_packing, op5_toxicity, op6_warc, op7_token_count, op8_quality_rules, op9_jaccard_join, op10_iso_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
