@@ -27,7 +27,7 @@ _powers = np.ones(1, np.uint64)
 def powers(n: int) -> np.ndarray:
     global _powers
     while len(_powers) < n:
-        top = _powers[-1] * np.uint64(STEP)
+        top = np.uint64(int(_powers[-1]) * STEP & MASK)
         _powers = np.concatenate([_powers, _powers * top])
     return _powers
 

@@ -5,14 +5,15 @@
 2. A class of n shingles emits its first n - ceil(t n) + L shingles in that order. Two linked classes share at least
    min(L, L') of these. L is chosen per class: each step lengthens the prefix by one posting but divides the expected
    number of candidates, which are at most (postings met) / L, and the L of least expected cost is taken.
-3. Postings with one class are dropped. In every other posting list all classes are first tested against one pivot,
-   which joins most of a group of near copies in as many tests as it has members.
+3. Postings with one class are dropped. In every other posting list all classes are first set against one pivot;
+   pairs that meet so in min(L, L') lists are tested, which joins most of a group of near copies in about as many tests
+   as it has members.
 4. Only pairs that the links so far leave in different components can still matter: those that share at least
    min(L, L') prefix shingles and have sizes that allow a link are tested too. So no link between components is lost,
    and no group is expanded into all its pairs.
 5. Tests compare whole sets. Components are found by label propagation with pointer jumping, in tables.
 
-Nodes are 64-bit hashes of the whole sorted set. Sets travel for classes with a shared posting alone; a Bloom filter
+Nodes are 64-bit hashes of the whole sorted set. Sets travel for classes in tested pairs alone; a Bloom filter
 of fixed size (a full one only saves less) keeps the others from being shuffled.
 
 Defined results: null or wordless text is the empty set, linked with nothing: its component is its own doc_id; repeated
@@ -35,11 +36,12 @@ from lakeloom.llm.byte_bpe import batches
 from lakeloom.llm.common import doc_text, ship, staged
 from lakeloom.llm.hashing import shingle_sets
 
-#: Cells of the frequency sketch and bits of the Bloom filter (both powers of two); what a task must see to report a cell.
-CELLS, BLOOM_BITS, LEAST_SEEN = 1 << 22, 1 << 26, 4
+#: Cells of the frequency sketch and bits of the Bloom filter (both powers of two); what a task must see to report a
+#: cell, and what all tasks must.
+CELLS, BLOOM_BITS, LEAST_SEEN, LEAST_TOTAL = 1 << 22, 1 << 26, 6, 12
 MOST_MATCHES = 8
-#: Cost of testing a candidate against that of reading a posting.
-TEST_COST = 16
+#: Cost of testing a candidate (two sets travel) against that of a posting; other texts met at a shingle not in the sketch.
+TEST_COST, RARE = 200, 0.1
 SEEN_NODES = 500_000
 
 
@@ -90,9 +92,10 @@ def classify(docs: DataFrame, width: int) -> DataFrame:
 
 def frequency_levels(rows: DataFrame) -> np.ndarray:
     """log2 of the texts seen by cell: CELLS bytes."""
-    found = rows.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).toPandas()
+    total = rows.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_TOTAL)
+    found = total.select(F.col("cell").cast("int").alias("cell"), F.floor(F.log2(F.col("seen") + 1)).cast("byte").alias("level")).toPandas()
     levels = np.zeros(CELLS, np.uint8)
-    levels[found["cell"].to_numpy(np.int64)] = np.log2(found["seen"].to_numpy(np.float64) + 1).astype(np.uint8)
+    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
     return levels
 
 
@@ -103,7 +106,8 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.n
     order = np.lexsort((shingles, level))
     short = n - least_overlap(n, percent)
     most = min(MOST_MATCHES, least_overlap(n, percent))
-    met = np.cumsum(np.exp2(level[order[: short + most]].astype(np.float64)) - 1)[short:]
+    known = level[order[: short + most]].astype(np.float64)
+    met = np.cumsum(np.where(known > 0, np.exp2(known) - 1, RARE))[short:]
     matches = np.arange(1, most + 1)
     best = int(np.argmin(met + matches + TEST_COST * met / matches)) + 1
     return shingles[order[: short + best]], best
@@ -137,9 +141,9 @@ def postings(docs: DataFrame, levels, width: int, percent: int) -> DataFrame:
 def shared_postings(rows: DataFrame) -> DataFrame:
     """Postings of tokens that several classes hold, with each token's pivot class."""
     token = W.partitionBy("token")
-    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))).over(token)
+    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("l").alias("l"))).over(token)
     marked = rows.withColumns({"low": F.min("node").over(token), "high": F.max("node").over(token), "pivot": pivot})
-    return marked.where("low <> high").select("token", "node", "n", "l", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+    return marked.where("low <> high").select("token", "node", "n", "l", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.l").alias("pivot_l"))
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -235,6 +239,10 @@ def open_pairs(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return met.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l", "l_r")).alias("least")).where("common >= least").select("a", "b")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def link_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n, node) of every row, (node, comp) of every class with a link to another)."""
     spark = docs.sparkSession
@@ -242,14 +250,18 @@ def link_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     rows = staged(classify(docs, width), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(rows))
     shared = staged(shared_postings(postings(docs, levels, width, percent)), "postings")
-    sets = staged(class_sets(docs, shared.select("node").distinct(), width), "sets")
     star = shared.where((F.col("node") != F.col("pivot")) & sizes_allow(F.col("n"), F.col("pivot_n"), percent))
-    star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    star = star.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l", "pivot_l")).alias("least"))
+    star = staged(star.where("common >= least").select("a", "b"), "star")
+    sets = staged(class_sets(docs, ends(star), width), "sets")
     found = staged(links(star, sets, percent), "links")
     comp = components(found)
-    more = staged(links(open_pairs(shared, comp, percent), sets, percent), "links")
-    if more.limit(1).count():
-        comp = components(found.union(more))
+    rest = staged(open_pairs(shared, comp, percent), "rest").join(star, ["a", "b"], "left_anti")
+    if rest.limit(1).count():
+        new = ends(rest).join(sets.select("node"), "node", "left_anti")
+        if new.limit(1).count():
+            sets = sets.union(staged(class_sets(docs, new, width), "sets"))
+        comp = components(found.union(links(rest, sets, percent)))
     return rows.where("n IS NOT NULL").select("doc_id", "n", "node"), comp
 
 
