@@ -72,7 +72,7 @@ def doc_text(docs: DataFrame) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that a plan reads."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size.toString()))
+    return int(str(size))
 
 
 def spread(df: DataFrame, per_part: int, least: int = 1) -> int:

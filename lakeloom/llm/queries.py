@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import byte_bpe, iso_media, jaccard_join, packing, quality, secrets, token_count, toxicity, warc
+from lakeloom.llm import byte_bpe, iso_media, jaccard_join, katz, packing, quality, secrets, token_count, toxicity, warc
 from lakeloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,7 +50,7 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.store_texts(table(spark, sf_dir, "documents"), keep_media=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op4_packing, op5_toxicity, op6_warc, op7_token_count, op8_quality_rules, op9_jaccard_join, op10_iso_media)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_katz, op4_packing, op5_toxicity, op6_warc, op7_token_count, op8_quality_rules, op9_jaccard_join, op10_iso_media)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
