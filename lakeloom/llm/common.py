@@ -70,15 +70,9 @@ def doc_text(docs: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that a plan reads."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
-
-
-def spread(df: DataFrame, per_part: int, least: int = 1) -> int:
-    """Partitions for about per_part estimated input bytes each, never below the session's shuffle partitions."""
-    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return max(least, int(conf), -(-min(input_bytes(df), 1 << 50) // per_part))
+    """Catalyst's estimate of the bytes that a plan reads; of a plan of unknown size, 16 MiB for each partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else df.rdd.getNumPartitions() << 24
 
 
 WORD_CLASS = r"[^\x20\x09-\x0D]+"

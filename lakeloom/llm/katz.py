@@ -309,7 +309,7 @@ def _score(texts: DataFrame) -> DataFrame:
             at = np.searchsorted(bucket_of(c.keys, buckets), np.unique(bucket_of(c.keys, buckets)))
             for first, (own, asked, values) in zip(at.tolist(), _read(pairs, number), strict=True):
                 counts.append(own)
-                np.add.at(stats, c.key_v[first + asked.astype(np.int64)], values.reshape(len(asked), -1))
+                np.add.at(stats, c.key_v[first + asked.astype(np.int64)], values.reshape(len(asked), MOST_DISCOUNTED + 2))
             yield _scores(c, known, np.concatenate(counts).astype(np.int64), stats, unigrams, d)
 
     # Scored here, while the partitions are held alike.
