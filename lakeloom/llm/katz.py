@@ -40,7 +40,7 @@ from lakeloom.llm.hashing import mix, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 MOST_DISCOUNTED, DELTA = 5, 0.5
-CHUNK_BYTES, BUCKET_BYTES = 48 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 14 << 20, 16 << 20
 END, START = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 #: A context is split if it holds more than this share of a mean bucket.
 SHARE = 4
