@@ -5,11 +5,11 @@
 2. A class of n shingles emits its first n - ceil(t n) + L shingles in that order. Two linked classes share at least
    min(L, L') of these. L is chosen per class: each step lengthens the prefix by one posting but divides the expected
    number of candidates, which are at most (postings met) / L, and the L of least expected cost is taken.
-3. Postings with one class are dropped. In every other posting list all classes are first set against one pivot;
-   pairs that meet so in min(L, L') lists are tested, which joins most of a group of near copies in about as many tests
+3. Postings with one class are dropped. In every other posting list all classes are first set against one pivot, the
+   most central class; pairs that meet so in as many lists as step 4 asks for are tested, which joins most of a group of near copies in about as many tests
    as it has members.
 4. Only pairs that the links so far leave in different components can still matter: those that share at least
-   min(L, L') prefix shingles and have sizes that allow a link are tested too. So no link between components is lost,
+   min(L, L') prefix shingles, and as many as their sizes and the tails beyond their prefixes demand, are tested too. So no link between components is lost,
    and no group is expanded into all its pairs.
 5. Tests compare whole sets. Components are found by label propagation with pointer jumping, in tables.
 
@@ -138,12 +138,36 @@ def postings(docs: DataFrame, levels, width: int, percent: int) -> DataFrame:
     return doc_text(docs).mapInArrow(run, "token long, node long, n int, l int")
 
 
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """Postings of tokens that several classes hold, with each token's pivot class."""
+def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
+    """Postings of tokens that several classes hold, with each token's pivot.
+
+    The pivot is the class with the largest share of its prefix in shared postings: of a group of near copies the one
+    that differs least from the others.
+    """
     token = W.partitionBy("token")
-    pivot = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("l").alias("l"))).over(token)
-    marked = rows.withColumns({"low": F.min("node").over(token), "high": F.max("node").over(token), "pivot": pivot})
-    return marked.where("low <> high").select("token", "node", "n", "l", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.l").alias("pivot_l"))
+    marked = rows.withColumns({"low": F.min("node").over(token), "high": F.max("node").over(token)})
+    shared = staged(marked.where("low <> high").select("token", "node", "n", "l"), "postings")
+    share = F.count(F.lit(1)) / (F.max("n") - F.max(tail("n", "l", percent)))
+    central = shared.groupBy("node").agg(share.alias("share"))
+    pivot = F.max(F.struct("share", F.xxhash64("node").alias("h"), "node", "n", "l")).over(token)
+    named = shared.join(central, "node").withColumn("pivot", pivot)
+    return named.select("token", "node", "n", "l", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.l").alias("pivot_l"))
+
+
+def tail(n: str, l: str, percent: int) -> Column:  # noqa: E741
+    """Shingles of a set that its prefix leaves out."""
+    return F.ceil(F.lit(percent) * F.col(n) / 100) - F.col(l)
+
+
+def needed(a: str, b: str, percent: int) -> Column:
+    """Prefix shingles that linked sets share at least; a and b are the suffixes of their columns n and l.
+
+    Of the set whose prefix ends first in the common order, shared shingles lie in both prefixes or in its tail, so the
+    overlap is at most what the prefixes share and the longer tail.
+    """
+    total = F.col(f"n{a}") + F.col(f"n{b}")
+    overlap = F.ceil(F.lit(percent) * total / (100 + percent))
+    return F.greatest(F.least(f"l{a}", f"l{b}").cast("long"), overlap - F.greatest(tail(f"n{a}", f"l{a}", percent), tail(f"n{b}", f"l{b}", percent)))
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -236,7 +260,7 @@ def open_pairs(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     once = (F.col("comp") == F.col("main")) | (F.col("node_r") < F.col("node"))
     met = rest.join(mixed, "token").where((F.col("comp") != F.col("comp_r")) & once & sizes_allow(F.col("n"), F.col("n_r"), percent))
     a, b = F.least("node", "node_r"), F.greatest("node", "node_r")
-    return met.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l", "l_r")).alias("least")).where("common >= least").select("a", "b")
+    return met.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max(needed("", "_r", percent)).alias("needed")).where("common >= needed").select("a", "b")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -249,10 +273,10 @@ def link_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     ship(spark)
     rows = staged(classify(docs, width), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(rows))
-    shared = staged(shared_postings(postings(docs, levels, width, percent)), "postings")
-    star = shared.where((F.col("node") != F.col("pivot")) & sizes_allow(F.col("n"), F.col("pivot_n"), percent))
-    star = star.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(F.least("l", "pivot_l")).alias("least"))
-    star = staged(star.where("common >= least").select("a", "b"), "star")
+    shared = staged(shared_postings(postings(docs, levels, width, percent), percent), "shared")
+    star = shared.where((F.col("node") != F.col("pivot")) & sizes_allow(F.col("n"), F.col("pivot_n"), percent)).withColumnsRenamed({"pivot_n": "n_p", "pivot_l": "l_p"})
+    star = star.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max(needed("", "_p", percent)).alias("needed"))
+    star = staged(star.where("common >= needed").select("a", "b"), "star")
     sets = staged(class_sets(docs, ends(star), width), "sets")
     found = staged(links(star, sets, percent), "links")
     comp = components(found)
