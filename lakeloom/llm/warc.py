@@ -69,7 +69,14 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     known = decisions(rows, least_bytes).select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), "first", F.lit(True).alias("shared"))
-    joined = rows.withColumn("digest", F.sha1("html")).join(known.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
+
+    def deflate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([zlib.compress(h.encode(), 6) for h in part.column(2).to_pylist()], pa.binary()), part.column(3)], ["page_id", "url", "html", "digest"])
+
+    # Payloads are shuffled deflated.
+    small = rows.withColumn("digest", F.sha1("html")).mapInArrow(deflate, "page_id long, url string, html binary, digest string")
+    joined = small.join(known.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
     # Repeats of one page_id and payload: all but one revisit it.
     copy = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
     chosen = joined.select("page_id", "url", "html", "first", F.coalesce("shared", F.lit(False)).alias("shared"), copy.alias("copy"))
@@ -78,7 +85,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         for part in parts:
             out = []
             for page_id, url, html, first, shared, copy_no in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                payload = html.encode()
+                payload = zlib.decompress(html)
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 out.append(member(page_id, url, payload, digest, first, shared and (first != page_id or copy_no > 1)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
