@@ -33,29 +33,31 @@ QUERY_WORDS, CACHE_WORDS = 40_000, 400_000
 #: Characters that \s matches in the split pattern (Unicode White_Space).
 WHITE = frozenset(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
+#: A position's key is word << 10 | place; n is the key of the next position, so neighbours meet in a hash join. The
+#: least rank << 20 | place of a word is its leftmost pair of the least rank.
 ENCODE = """
-WITH RECURSIVE step(it, w, p, t) AS (
-    SELECT 0::INT, w, p, t FROM symbols
+CREATE OR REPLACE TEMP TABLE sequences AS
+WITH RECURSIVE step(it, w, k, n, t) AS (
+    SELECT 0::INT, w, (w::BIGINT << 10) | p, (w::BIGINT << 10) | (p + 1), t FROM symbols
     UNION ALL
-    SELECT it + 1, w, p, CASE WHEN p = place THEN (best >> 20)::INT ELSE t END
-    FROM (
-        SELECT it, w, p, t, prev, best, (best & 1048575)::INT AS place
-        FROM (
-            SELECT it, w, p, t, prev, min((rank::BIGINT << 20) | p) OVER (PARTITION BY w) AS best
-            FROM (
-                SELECT it, w, p, t, (t::BIGINT << 24) | lead(t) OVER word AS pair, lag(p) OVER word AS prev
-                FROM step WINDOW word AS (PARTITION BY w ORDER BY p)
-            ) LEFT JOIN merges USING (pair)
-        ) WHERE best IS NOT NULL
-    ) WHERE prev IS NULL OR prev <> place
-)
-SELECT w, list(t ORDER BY p) AS ids
-FROM (SELECT *, max(it) OVER (PARTITION BY w) AS last FROM step) WHERE it = last
-GROUP BY w ORDER BY w
+    (WITH pairs AS (
+        SELECT a.w, (rank::BIGINT << 20) | (a.k & 1023) AS best, b.k AS gone, b.n AS after
+        FROM step a JOIN step b ON a.n = b.k JOIN merges ON pair = ((a.t::BIGINT << 24) | b.t)
+    ), picks AS (
+        SELECT w, min(best) AS best, arg_min(gone, best) AS gone, arg_min(after, best) AS after FROM pairs GROUP BY w
+    )
+    SELECT it + 1, w, k,
+        CASE WHEN (k & 1023) = (best & 1048575) THEN after ELSE n END,
+        CASE WHEN (k & 1023) = (best & 1048575) THEN (best >> 20)::INT ELSE t END
+    FROM step JOIN picks USING (w) WHERE k <> gone)
+), last AS (SELECT w, max(it) AS it FROM step GROUP BY w)
+SELECT w, k, t FROM step JOIN last USING (w, it)
 """
 
+#: The ids as decimal text, and the bytes they stand for.
 DECODE = """
-SELECT w, list(b ORDER BY p) AS parts FROM sequences JOIN vocabulary USING (t) GROUP BY w ORDER BY w
+SELECT w, count(*) AS n, string_agg(t::VARCHAR, ',' ORDER BY k) AS ids, unhex(string_agg(hex, '' ORDER BY k)) AS bytes
+FROM sequences JOIN vocabulary USING (t) GROUP BY w
 """
 
 
@@ -81,53 +83,45 @@ class Codec:
                     rank.append(k)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merges = pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(rank, pa.int32())})
-        vocabulary = pa.table({"t": pa.array(self.tokens, pa.int32()), "b": pa.array(self.tokens.values(), pa.binary())})
+        vocabulary = pa.table({"t": pa.array(self.tokens, pa.int32()), "hex": pa.array([b.hex() for b in self.tokens.values()], pa.string())})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word (a pretoken's bytes)."""
-        out: list[list[int]] = [[] for _ in words]
+    def code(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
+        """(number of ids, ids as decimal text, decoded bytes) of each word (a pretoken's bytes)."""
+        out: list = [None] * len(words)
         todo = []
         for i, w in enumerate(words):
             if (k := self.ranks.get(w)) is not None:
-                out[i] = [k]
+                out[i] = (1, str(k), self.tokens[k])
             elif len(w) > LONG_WORD:
-                out[i] = self.heap_encode(w)
+                ids = self.heap_encode(w)
+                out[i] = (len(ids), ",".join(map(str, ids)), b"".join([self.tokens[t] for t in ids]))
             elif w:
                 todo.append(i)
+            else:
+                out[i] = (0, "", b"")
         for start in range(0, len(todo), QUERY_WORDS):
             part = todo[start : start + QUERY_WORDS]
             lengths = np.array([len(words[i]) for i in part])
-            data = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
+            data = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
             begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
             symbols = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "p": (np.arange(len(data)) - begin).astype(np.int32), "t": self.byte_ids[data]})
-            for w, ids in self._rows("symbols", symbols, ENCODE):
-                out[part[w]] = ids
-        return out
-
-    def decode_words(self, sequences: list[list[int]]) -> list[bytes]:
-        """Bytes of each id sequence."""
-        out = [b""] * len(sequences)
-        lengths = np.array([len(s) for s in sequences])
-        if not lengths.sum():
-            return out
-        flat = np.fromiter((t for s in sequences for t in s), np.int32, int(lengths.sum()))
-        begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rows = pa.table({"w": np.repeat(np.arange(len(sequences), dtype=np.int32), lengths), "p": (np.arange(len(flat)) - begin).astype(np.int32), "t": flat})
-        for w, parts in self._rows("sequences", rows, DECODE):
-            out[w] = b"".join(parts)
+            self.db.register("symbols", symbols)
+            try:
+                self.db.execute(ENCODE)
+                found = self.db.sql(DECODE).to_arrow_table()
+            finally:
+                self.db.unregister("symbols")
+            for w, n, ids, plain in zip(*(c.to_pylist() for c in found.columns), strict=True):
+                out[part[w]] = (n, ids, plain)
         return out
 
-    def _rows(self, name: str, rows: pa.Table, query: str):
-        self.db.register(name, rows)
-        try:
-            found = self.db.sql(query).to_arrow_table()
-        finally:
-            self.db.unregister(name)
-        return zip(*(c.to_pylist() for c in found.columns), strict=True)
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word."""
+        return [numbers(ids) for _, ids, _ in self.code(words)]
 
     def heap_encode(self, word: bytes) -> list[int]:
         """The same contraction for one long word, in n log n."""
@@ -166,6 +160,10 @@ class Codec:
         return self.split(text)
 
 
+def numbers(ids: str) -> list[int]:
+    return [int(t) for t in ids.split(",")] if ids else []
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -176,7 +174,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 class Cache:
-    """unit -> (ids, their decimal text, decoded bytes), for all units of a batch at a time."""
+    """unit -> (number of ids, their decimal text, decoded bytes), for all units of a batch at a time."""
 
     def __init__(self, own: Codec):
         self.own, self.units = own, {}
@@ -187,11 +185,13 @@ class Cache:
             self.units, new = {}, list(units)
         parts = [self.own.split(u) for u in new]
         words = list({w for p in parts for w in p})
-        ids = self.own.encode_words([w.encode() for w in words])
-        of_word = {w: (i, b) for w, i, b in zip(words, ids, self.own.decode_words(ids), strict=True)}
+        of_word = dict(zip(words, self.own.code([w.encode() for w in words]), strict=True))
         for u, p in zip(new, parts, strict=True):
-            seq = [t for w in p for t in of_word[w][0]]
-            self.units[u] = (len(seq), ",".join(map(str, seq)), b"".join(of_word[w][1] for w in p), seq)
+            if len(p) == 1:
+                self.units[u] = of_word[p[0]]
+            else:
+                n, ids, plain = zip(*[of_word[w] for w in p], strict=True) if p else ((), (), ())
+                self.units[u] = (sum(n), ",".join(ids), b"".join(plain))
 
 
 _caches: dict[tuple[str, str], Cache] = {}
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
                     ids.append(hashlib.sha256(",".join([f[1] for f in found if f[0]]).encode()).hexdigest())
                     plain.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
                     if with_ids:
-                        lists.append([t for f in found for t in f[3]])
+                        lists.append([t for f in found for t in numbers(f[1])])
                 columns = [pa.array([i for i, _ in some], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
