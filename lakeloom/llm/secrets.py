@@ -2,12 +2,13 @@
 
 Parts. Base parts stand alone: assignments of values of 8+ characters to secret-like names, access identifiers of 16+
 and hex runs of 32+ characters. Weak parts mean nothing alone: values of 4+ characters assigned to broader names, user
-and client identifiers, and endpoints (scheme://host).
+and client identifiers, and endpoints (scheme://host, hosts assigned to names like host or server, host:port).
 
 Linking. A text falls into scopes at blank lines. Two parts of a scope are near if their spans, widened by REACH code
 points, meet. The interval join runs as two sorted passes over a scope's parts (running nearest end before, nearest
-start after, for each role), so it costs n log n and never makes pairs. A weak part is reported only if the two other
-roles (identifier, secret, endpoint) are near it, and if no base part overlaps it.
+start after, for each role), so it costs n log n and never makes pairs. A weak part is reported if a complementary part
+is near it and no base part overlaps it. An endpoint goes with any identifier or secret; an identifier and a secret go
+together if one of them is a base part. A weak identifier and a weak secret without an endpoint are not reported.
 
 Positions (code points, end exclusive) are running sums of the lengths of matches and of the gaps between them.
 Parts are shuffled by row; texts are not.
@@ -26,15 +27,25 @@ from lakeloom.llm.quality import let
 
 REACH = 300
 VALUE = r"""["']?\x20*[:=]\x20*["']?"""
-#: kind -> (pattern, role), in the order that ties of start take. Base kinds come first.
+HOST = r"(?:(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{1,63}|localhost)"
+NAMED_HOST = r"(?i:host(?:_?name)?|server|endpoint|domain|url|addr(?:ess)?)"
+ENDPOINT = "|".join(
+    (
+        r"[A-Za-z][A-Za-z0-9+.-]{0,15}://[A-Za-z0-9._~-]{1,253}(?::[0-9]{1,5})?",
+        rf"{NAMED_HOST}{VALUE}{HOST}(?::[0-9]{{1,5}})?",
+        rf"""{NAMED_HOST}["']?\x20*=\x20*["']?[A-Za-z0-9-]{{1,63}}(?![A-Za-z0-9+.-]*://)(?::[0-9]{{1,5}})?""",
+        r"(?<![A-Za-z0-9.@-])(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}:[0-9]{1,5}(?![0-9])",
+    )
+)
 ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){VALUE}([A-Za-z0-9+/_.=-]+)"
+#: kind -> (pattern, role), in the order that ties of start take. Base kinds come first.
 KINDS = {
     "assign": (ASSIGN, "secret"),
     "access": (r"AKIA[A-Z0-9]{12,}", "identifier"),
     "hex": (r"[0-9a-f]{32,}", "secret"),
-    "weak_id": (rf"(?i:access_?key(?:_?id)?|client_?id|user(?:name|_?id)?|login|account){VALUE}[A-Za-z0-9._@-]{{3,64}}", "identifier"),
-    "weak_secret": (rf"(?i:pass(?:word|wd)?|pwd|secret|token|credentials?|private_?key|auth|signature|(?:api_?)?key){VALUE}[A-Za-z0-9+/_.=@!-]{{4,64}}", "secret"),
-    "endpoint": (r"[A-Za-z][A-Za-z0-9+.-]{0,15}://[A-Za-z0-9._~-]{1,253}(?::[0-9]{1,5})?", "endpoint"),
+    "weak_id": (rf"(?i:(?<!secret_|secret)access_?key(?:_?id)?|client_?id|user(?:name|_?id)?|login|account){VALUE}[A-Za-z0-9._@-]{{3,64}}", "identifier"),
+    "weak_secret": (rf"(?i:pass(?:word|wd)?|pwd|secret|token|credentials?|private_?key|auth|signature|(?:api_?|secret_?access_?)?key){VALUE}[A-Za-z0-9+/_.=@!-]{{4,64}}", "secret"),
+    "endpoint": (ENDPOINT, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
 ROLES = ("identifier", "secret", "endpoint")
@@ -59,17 +70,14 @@ def parts_of(text: Column) -> Column:
 
             return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), made)
 
-        there = text.rlike(pattern)
-        if kind not in BASE:  # without an endpoint no weak part is reported
-            there = text.contains("://") & there
-        return F.when(there, let(F.split(text, pattern, -1), both)).otherwise(F.expr(f"cast(array() as array<{PART}>)"))
+        return F.when(text.rlike(pattern), let(F.split(text, pattern, -1), both)).otherwise(F.expr(f"cast(array() as array<{PART}>)"))
 
     return F.concat(*(of_kind(i, k) for i, k in enumerate(KINDS)))
 
 
 def has_parts(text: Column) -> Column:
     """Whether a text has a base part or an endpoint."""
-    return text.rlike(ASSIGN) | text.rlike(KINDS["access"][0]) | text.rlike(KINDS["hex"][0]) | text.contains("://")
+    return text.rlike(ASSIGN) | text.rlike(KINDS["access"][0]) | text.rlike(KINDS["hex"][0]) | text.rlike(ENDPOINT)
 
 
 def find(docs: DataFrame, *carry: str) -> DataFrame:
@@ -93,17 +101,21 @@ def find(docs: DataFrame, *carry: str) -> DataFrame:
         mine = F.col("ok") & (F.col("role") == r)
         near[f"{r}_back"] = F.max(F.when(mine, F.col("end"))).over(back)
         near[f"{r}_ahead"] = F.min(F.when(mine, F.col("start"))).over(ahead)
+        near[f"base_{r}_back"] = F.max(F.when(mine & is_base, F.col("end"))).over(back)
+        near[f"base_{r}_ahead"] = F.min(F.when(mine & is_base, F.col("start"))).over(ahead)
     near["base_back"] = F.max(F.when(is_base, F.col("end"))).over(back)
     near["base_ahead"] = F.min(F.when(is_base, F.col("start"))).over(ahead)
     linked = placed.withColumns(near)
-    for r in ROLES:
+    for r in (*ROLES, "base_identifier", "base_secret"):
         close = (F.col(f"{r}_back") >= F.col("start") - REACH) | (F.col(f"{r}_ahead") <= F.col("end") + REACH)
         linked = linked.withColumn(r, F.coalesce(close, F.lit(False)))
     free = ~F.coalesce((F.col("base_back") > F.col("start")) | (F.col("base_ahead") < F.col("end")), F.lit(False))
-    together = F.col("identifier") & F.col("secret") & F.col("endpoint")
-    shown = F.col("ok") & ((F.col("kind") < len(BASE)) | (together & free))
+    role = F.col("role")
+    linked_base = F.when(role == "identifier", F.col("secret")).otherwise(F.col("identifier")) | F.col("endpoint")
+    partner = F.when(role == "endpoint", F.col("identifier") | F.col("secret")).otherwise(F.when(role == "identifier", F.col("base_secret")).otherwise(F.col("base_identifier")) | F.col("endpoint"))
+    shown = F.col("ok") & ((F.col("kind") < len(BASE)) | (partner & free))
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("kind").alias("kind"), F.col("end").cast("long").alias("end"))
-    full = F.col("ok") & (F.col("kind") < len(BASE)) & together
+    full = F.col("ok") & (F.col("kind") < len(BASE)) & linked_base
     # `own` may itself be a struct of nulls, so its row is told by the part number.
     return linked.groupBy("row").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(F.when(shown, span))).alias("spans"), F.count(F.when(full, 1)).alias("n_linked")).select("own", "spans", "n_linked")
 
