@@ -43,8 +43,8 @@ KINDS = {
     "assign": (ASSIGN, "secret"),
     "access": (r"AKIA[A-Z0-9]{12,}", "identifier"),
     "hex": (r"[0-9a-f]{32,}", "secret"),
-    "weak_id": (rf"(?i:(?<!secret_|secret)access_?key(?:_?id)?|client_?id|user(?:name|_?id)?|login|account){VALUE}[A-Za-z0-9._@-]{{3,64}}", "identifier"),
-    "weak_secret": (rf"(?i:pass(?:word|wd)?|pwd|secret|token|credentials?|private_?key|auth|signature|(?:api_?|secret_?access_?)?key){VALUE}[A-Za-z0-9+/_.=@!-]{{4,64}}", "secret"),
+    "weak_id": (rf"(?i:(?<!secret_|secret)access_?key(?:_?id)?|client_?id|user(?:name|_?id)?|login|account){VALUE}[A-Za-z0-9._@-]{{3,}}", "identifier"),
+    "weak_secret": (rf"(?i:pass(?:word|wd)?|pwd|secret|token|credentials?|private_?key|auth|signature|(?:api_?|secret_?access_?)?key){VALUE}[A-Za-z0-9+/_.=@!-]{{4,}}", "secret"),
     "endpoint": (ENDPOINT, "endpoint"),
 }
 BASE = ("assign", "access", "hex")
@@ -141,7 +141,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every reported span replaced by its kind in brackets (overlapping spans: the first), n_chars anew."""
+    """docs with every reported span replaced by its kind in brackets (overlapping spans: the first's kind, up to the last end), n_chars anew."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = find(docs.where(has_parts(text)), *docs.columns)
     start = F.struct(F.lit(0).cast("long").alias("end"), F.expr("cast(array() as array<string>)").alias("out"))
@@ -150,7 +150,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def cut(a: Column, s: Column) -> Column:
         before = F.substring(F.col("own.text"), (a["end"] + 1).cast("int"), (s["start"] - a["end"]).cast("int"))
         new = F.struct(s["end"].alias("end"), F.concat(a["out"], F.array(before, F.element_at(names, s["kind"] + 1))).alias("out"))
-        return F.when(s["start"] >= a["end"], new).otherwise(a)
+        return F.when(s["start"] >= a["end"], new).otherwise(F.struct(F.greatest(a["end"], s["end"]).alias("end"), a["out"].alias("out")))
 
     def rest(a: Column) -> Column:
         return F.concat(F.array_join(a["out"], ""), F.substring(F.col("own.text"), (a["end"] + 1).cast("int"), F.lit(2**31 - 1)))
