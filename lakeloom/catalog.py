@@ -207,8 +207,13 @@ def semantic_topk(embeddings):
 
 
 @query()
-def lsh_buckets(benchmark):
-    return dedup.lsh_buckets(dedup.minhash_signatures(benchmark, "item_id"), "item_id")
+def lsh_buckets(documents):
+    return dedup.lsh_buckets(dedup.minhash_signatures(documents, "doc_id"), "doc_id")
+
+
+@query()
+def near_duplicates(documents):
+    return dedup.near_duplicates(documents, "doc_id")
 
 
 @query(r"""SELECT page_id, CASE e WHEN 'md' THEN 'markdown' WHEN 'canvas' THEN 'canvas' WHEN 'base' THEN 'base' ELSE 'asset' END AS kind, CASE e WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'gif' THEN 'image/gif' WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'html' THEN 'text/html' ELSE 'application/octet-stream' END AS media, regexp_matches(url, '(^|/)(\.git|\.obsidian|\.DS_Store|\.env|id_rsa|credentials\.json)(/|$)|\.(exe|dll|so|pem|key|sh)$') AS excluded
