@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Media types by extension, and what never enters a corpus.
 MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html"}
-EXCLUDED = r"(^|/)(\.git|\.obsidian|\.DS_Store|\.env|id_rsa|credentials\.json)(/|$)|\.(exe|dll|so|pem|key|sh)$"
+DENIED_NAMES = r"\.git|\.obsidian|\.ds_store|\.env(\.[^/]*)?|id_rsa|id_dsa|id_ecdsa|id_ed25519|credentials|credentials\.json|\.npmrc|\.pypirc|\.netrc|secrets\.[^/]*"
+DENIED_EXTENSIONS = "exe com scr dll dylib so app msi msp bat cmd ps1 sh bash zsh fish command vbs vbe js jse mjs cjs wsf wsh hta jar class wasm apk deb rpm dmg pkg key pem p12 pfx".split()
+EXCLUDED = rf"(^|/)({DENIED_NAMES})(/|$)|[^/]\.({'|'.join(DENIED_EXTENSIONS)})$"
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -47,7 +51,9 @@ def media_type(path: Column) -> Column:
 
 
 def is_excluded(path: Column) -> Column:
-    return path.rlike(EXCLUDED)
+    """Whether the lower-cased path is denied: by the name of any part, or by its extension. Of a URL, the path counts."""
+    lower = F.translate(path, string.ascii_uppercase, string.ascii_lowercase)
+    return F.regexp_replace(lower, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*).*$", "$1").rlike(EXCLUDED)
 
 
 def is_external(target: Column) -> Column:
