@@ -155,7 +155,8 @@ def read_tracks(content: bytes) -> list[Track]:
 
 
 def index_media(media: DataFrame, content: str = "content") -> DataFrame:
-    """The rows of a binary column's table with codec, duration_s and keyframes (byte ranges) of their first track."""
+    """The rows of a binary column's table with codec, duration_s and keyframes (byte ranges) of their first video track, else
+    of their first track. Fragments (moof) aren't decoded: such a file keeps what its moov gives, and has an error."""
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +165,8 @@ def index_media(media: DataFrame, content: str = "content") -> DataFrame:
             for value in part.column(part.num_columns - 1).to_pylist():
                 try:
                     tracks = read_tracks(value) if value is not None else []
-                    t = tracks[0] if tracks else None
-                    out.append((t.codec, t.ticks / t.scale if t.scale else None, [{"start": a, "end": b} for a, b in t.keyframes], None) if t else (None, None, None, "no track"))
+                    t = next((t for t in tracks if t.kind == "vide"), tracks[0] if tracks else None)
+                    out.append((t.codec, t.ticks / t.scale if t.scale else None, [{"start": a, "end": b} for a, b in t.keyframes], "fragments not decoded" if any(p == (b"moof",) for p, *_ in walk(memoryview(value))) else None) if t else (None, None, None, "no track"))
                 except (ValueError, struct.error) as e:
                     out.append((None, None, None, str(e)))
             made = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), spans, pa.string()))]

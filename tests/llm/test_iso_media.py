@@ -60,3 +60,21 @@ def test_variable_sizes_and_wide_boxes():
 def test_cut_file():
     with pytest.raises(ValueError):
         M.read_tracks(M.write_media(bytes(576))[:-1])
+
+
+def test_video_track_and_fragments(spark):
+    """The video track counts, also behind an audio track; a fragmented file has an error."""
+
+    def trak(codec, kind, o):
+        stbl = M.box(b"stbl", M.full(b"stsd", struct.pack(">I", 1), M.box(codec)), M.table(b"stts", "II", [(1, 5)]), M.table(b"stsc", "III", [(1, 1, 1)]), M.full(b"stsz", struct.pack(">III", 0, 1, 3)), M.table(b"stco", "I", [(o,)]))
+        return M.box(b"trak", M.box(b"mdia", M.full(b"mdhd", struct.pack(">IIIII", 0, 0, 10, 99, 0)), M.full(b"hdlr", bytes(4), kind, bytes(13)), M.box(b"minf", stbl)))
+
+    def moov(o):
+        return M.box(b"moov", trak(b"mp4a", b"soun", o), trak(b"avc1", b"vide", o + 3))
+
+    at = len(moov(0)) + 8
+    both = moov(at) + M.box(b"mdat", b"aaavvv")
+    rows = spark.createDataFrame([(1, bytearray(both)), (2, bytearray(both + M.box(b"moof", M.box(b"traf"))))], "id long, content binary")
+    found = {r.id: r for r in M.index_media(rows).collect()}
+    assert found[1].codec == "avc1" and [tuple(k) for k in found[1].keyframes] == [(at + 3, at + 6)] and found[1].error is None
+    assert found[2].codec == "avc1" and found[2].keyframes == found[1].keyframes and found[2].error == "fragments not decoded"
