@@ -30,13 +30,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one (local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
         jdir = sc._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lakeloom_shared_")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -51,13 +53,17 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lakeloom_path = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through the Hadoop file system it is on."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, through the Hadoop file system they are on."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df._lakeloom_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,13 +6,18 @@
    min(L, L') of these. L is chosen per class: each step lengthens the prefix by one posting but divides the expected
    number of candidates, which are at most (postings met) / L, and the L of least expected cost is taken.
 3. Postings with one class are dropped. In every other posting list all classes are first set against one pivot, the
-   most central class; pairs that meet so in as many lists as step 4 asks for are tested, which joins most of a group of near copies in about as many tests
-   as it has members.
-4. Only pairs that the links so far leave in different components can still matter: those that share at least
-   min(L, L') prefix shingles, and as many as their sizes and the tails beyond their prefixes demand, are tested too. So no link between components is lost,
-   and no group is expanded into all its pairs.
+   most central class; pairs that meet so in as many lists as their L, sizes and the tails beyond their prefixes demand
+   are tested, which joins most of a group of near copies in about as many tests as it has members.
+4. Only pairs that the links so far leave in different components can still matter. A class leaves the longest of its
+   lists, by their exact lengths, as many as its least demand allows, and classes meet in the others only if their
+   demand is met by the places of that list among both classes' lists: a pair shares that many, so it meets in the
+   shortest of them. What meets is tested. So no link between components is lost, and no group is expanded into all its
+   pairs.
 5. Tests compare whole sets. Components are found by label propagation with pointer jumping, in tables.
 
+Posting lists are only ever counted by partial aggregates and met in joins, which adaptive execution can split; no list
+is gathered in a task. Tables staged on the way are deleted when nothing reads them any more.
+
 Nodes are 64-bit hashes of the whole sorted set. Sets travel for classes in tested pairs alone; a Bloom filter
 of fixed size (a full one only saves less) keeps the others from being shuffled.
 
@@ -33,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakeloom.llm.byte_bpe import batches
-from lakeloom.llm.common import doc_text, ship, staged
+from lakeloom.llm.common import doc_text, drop, ship, staged
 from lakeloom.llm.hashing import shingle_sets
 
 #: Cells of the frequency sketch and bits of the Bloom filter (both powers of two); what a task must see to report a
@@ -43,6 +48,8 @@ MOST_MATCHES = 8
 #: Cost of testing a candidate (two sets travel) against that of a posting; other texts met at a shingle not in the sketch.
 TEST_COST, RARE = 200, 0.1
 SEEN_NODES = 500_000
+#: Times that posting lists are shortened by their own bounds.
+SHORTENINGS = 2
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -138,20 +145,30 @@ def postings(docs: DataFrame, levels, width: int, percent: int) -> DataFrame:
     return doc_text(docs).mapInArrow(run, "token long, node long, n int, l int")
 
 
-def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
-    """Postings of tokens that several classes hold, with each token's pivot.
+def shared_postings(rows: DataFrame) -> DataFrame:
+    """Postings (token, node, n, l) of tokens that several classes hold, each once."""
+    every = staged(rows, "postings")
+    held = every.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
+    shared = staged(every.join(held, "token", "left_semi"), "held")
+    once = staged(shared.groupBy("token", "node").agg(F.max("n").alias("n"), F.max("l").alias("l")), "shared")
+    drop(every, shared)
+    return once
+
+
+def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class and the pivot of a token that both hold, if they meet so often enough to be similar.
 
     The pivot is the class with the largest share of its prefix in shared postings: of a group of near copies the one
     that differs least from the others.
     """
-    token = W.partitionBy("token")
-    marked = rows.withColumns({"low": F.min("node").over(token), "high": F.max("node").over(token)})
-    shared = staged(marked.where("low <> high").select("token", "node", "n", "l"), "postings")
     share = F.count(F.lit(1)) / (F.max("n") - F.max(tail("n", "l", percent)))
     central = shared.groupBy("node").agg(share.alias("share"))
-    pivot = F.max(F.struct("share", F.xxhash64("node").alias("h"), "node", "n", "l")).over(token)
-    named = shared.join(central, "node").withColumn("pivot", pivot)
-    return named.select("token", "node", "n", "l", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n"), F.col("pivot.l").alias("pivot_l"))
+    best = F.max(F.struct("share", F.xxhash64("node").alias("h"), "node", "n", "l")).alias("pivot")
+    pivots = shared.join(central, "node").groupBy("token").agg(best)
+    named = pivots.select("token", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("n_p"), F.col("pivot.l").alias("l_p"))
+    met = shared.join(named, "token").where((F.col("node") != F.col("pivot")) & sizes_allow(F.col("n"), F.col("n_p"), percent))
+    counted = met.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max(needed("", "_p", percent)).alias("needed"))
+    return counted.where("common >= needed").select("a", "b")
 
 
 def tail(n: str, l: str, percent: int) -> Column:  # noqa: E741
@@ -244,23 +261,49 @@ def components(edges: DataFrame) -> DataFrame:
         # Pointer jumping: a node takes the component of its component.
         root = near.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         new = staged(near.join(root, "comp", "left").select("node", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")), "comp")
-        comp = new.select("node", "comp")
+        drop(comp)
         if not new.where("old <> comp").limit(1).count():
-            return comp
+            drop(both)
+            return new.select("node", "comp")
+        comp, comp._lakeloom_path = new.select("node", "comp"), new._lakeloom_path
+
+
+def least_needed(percent: int) -> Column:
+    """A bound from below of needed() for a posting (n, l) and any other of its list, from the list's n_lo, n_hi and l_lo."""
+    lo = F.greatest("n_lo", F.ceil(F.lit(percent) * F.col("n") / 100))
+    hi = F.least("n_hi", F.floor(100 * F.col("n") / percent))
+    shared = lambda other: percent * (F.col("n") + other) / (100 + percent)
+    # needed() is least either at the least partner, by this set's own tail, or at the largest, by the partner's.
+    by_size = F.least(shared(lo) - tail("n", "l", percent), shared(hi) - F.lit(percent) * hi / 100 - 1 + F.col("l_lo"))
+    return F.greatest(F.least("l", "l_lo").cast("double"), by_size - 1e-6)
 
 
 def open_pairs(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that share enough prefix tokens and whose sizes allow a link."""
-    named = shared.join(comp, "node", "left").select("token", "node", "n", "l", F.coalesce("comp", "node").alias("comp"))
-    token = W.partitionBy("token")
-    mixed = staged(named.withColumns({"low": F.min("comp").over(token), "high": F.max("comp").over(token)}).where("low <> high").drop("low", "high"), "mixed")
-    count = mixed.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    rest = mixed.join(count, "token").where("comp <> main").select("token", "main", *(F.col(c).alias(f"{c}_r") for c in ("node", "n", "l", "comp")))
+    """Pairs in different components that share enough prefix tokens and whose sizes allow a link.
+
+    Of the prefix tokens that a pair shares, take the one with the shortest list. In both classes at least needed() - 1
+    tokens of longer lists come before it. So a class drops from the lists that its least_needed() allows, longest first,
+    and pairs meet only where the places of both are needed() at least.
+    """
+    token = shared.join(comp, "node", "left").select("token", "node", "n", "l", F.coalesce("comp", "node").alias("comp"))
+    named = staged(token, "named")
+    several = lambda df, *more: df.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *more).where("low <> high").drop("low", "high")
+    mixed = named.join(several(named, F.count(F.lit(1)).alias("heat")), "token")
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
+    core = staged(mixed.select("token", "node", "n", "l", "comp", place.alias("place")), "mixed")
+    drop(named)
+    for _ in range(SHORTENINGS):
+        bounds = several(core, F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
+        kept = staged(core.join(bounds, "token").where(F.col("place") >= least_needed(percent)).select(core.columns), "mixed")
+        drop(core)
+        core = kept
+    main = core.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    rest = core.join(main, "token").where("comp <> main").select("token", "main", *(F.col(c).alias(f"{c}_r") for c in ("node", "n", "l", "comp", "place")))
     # A pair outside the token's main component would come twice.
     once = (F.col("comp") == F.col("main")) | (F.col("node_r") < F.col("node"))
-    met = rest.join(mixed, "token").where((F.col("comp") != F.col("comp_r")) & once & sizes_allow(F.col("n"), F.col("n_r"), percent))
-    a, b = F.least("node", "node_r"), F.greatest("node", "node_r")
-    return met.groupBy(a.alias("a"), b.alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max(needed("", "_r", percent)).alias("needed")).where("common >= needed").select("a", "b")
+    enough = F.least("place", "place_r") >= needed("", "_r", percent)
+    met = rest.join(core, "token").where((F.col("comp") != F.col("comp_r")) & once & sizes_allow(F.col("n"), F.col("n_r"), percent) & enough)
+    return met.select(F.least("node", "node_r").alias("a"), F.greatest("node", "node_r").alias("b")).distinct()
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -273,19 +316,20 @@ def link_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     ship(spark)
     rows = staged(classify(docs, width), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(rows))
-    shared = staged(shared_postings(postings(docs, levels, width, percent), percent), "shared")
-    star = shared.where((F.col("node") != F.col("pivot")) & sizes_allow(F.col("n"), F.col("pivot_n"), percent)).withColumnsRenamed({"pivot_n": "n_p", "pivot_l": "l_p"})
-    star = star.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max(needed("", "_p", percent)).alias("needed"))
-    star = staged(star.where("common >= needed").select("a", "b"), "star")
+    shared = shared_postings(postings(docs, levels, width, percent))
+    star = staged(pivot_pairs(shared, percent), "star")
     sets = staged(class_sets(docs, ends(star), width), "sets")
     found = staged(links(star, sets, percent), "links")
     comp = components(found)
-    rest = staged(open_pairs(shared, comp, percent), "rest").join(star, ["a", "b"], "left_anti")
+    pairs = staged(open_pairs(shared, comp, percent), "pairs")
+    rest = staged(pairs.join(star, ["a", "b"], "left_anti"), "rest")
+    drop(shared, star, pairs)
     if rest.limit(1).count():
-        new = ends(rest).join(sets.select("node"), "node", "left_anti")
-        if new.limit(1).count():
-            sets = sets.union(staged(class_sets(docs, new, width), "sets"))
-        comp = components(found.union(links(rest, sets, percent)))
+        new = staged(ends(rest).join(sets.select("node"), "node", "left_anti"), "new")
+        more = staged(class_sets(docs, new, width), "sets")
+        comp = components(found.union(links(rest, sets.union(more), percent)))
+        drop(new, more)
+    drop(sets, found, rest)
     return rows.where("n IS NOT NULL").select("doc_id", "n", "node"), comp
 
 
@@ -302,6 +346,8 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with only the least doc_id of each component; wordless rows, rows without doc_id and repeats of a row stay."""
-    found = join(docs, width, percent).where("n_shingles > 0")
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("gone"), "left_anti")
+    found = join(docs, width, percent).where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
+    gone = "gone"
+    while gone in (c.lower() for c in docs.columns):
+        gone += "_"
+    return docs.join(found.select(F.col("doc_id").alias(gone)).distinct(), F.col("doc_id").cast("long") == F.col(gone), "left_anti")

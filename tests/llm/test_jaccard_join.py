@@ -109,7 +109,7 @@ def test_prefixes_share_enough():
 
 def test_keep_one(spark):
     texts = made(9, 120)
-    docs = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, node long, n string")
+    docs = spark.createDataFrame([(i, t, i, "x", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, node long, n string, gone int, Gone_ int")
     kept = {r.doc_id for r in J.keep_one(docs, 3, 90).collect()}
     want = plain(list(enumerate(texts)), 3, 90)
     assert kept == {i for i, n, c in want if n == 0 or c == i} and J.keep_one(docs, 3, 90).columns == docs.columns
@@ -118,3 +118,37 @@ def test_keep_one(spark):
 def test_empty_table(empty):
     assert J.join(empty).count() == 0
     assert J.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_groups_around_the_threshold(spark, width, percent):
+    """Copies with one to nine changed words of 150, so that many pairs of a group lie just below the threshold."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(3):
+        base = [f"b{g}_{i}" for i in range(150)]
+        for _ in range(80):
+            own = list(base)
+            for _ in range(rng.randrange(1, 10)):
+                own[rng.randrange(150)] = f"x{rng.randrange(40)}"
+            texts.append(" ".join(own[: rng.randrange(140, 151)]))
+    same(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width, percent, spark)
+
+
+def test_least_needed_bounds_needed(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = []
+    for _ in range(4000):
+        n = rng.randrange(1, 300)
+        n_r = rng.randrange(-(-9 * n // 10), 10 * n // 9 + 1)
+        size, size_r = (rng.randrange(1, min(8, J.least_overlap(x, 90)) + 1) for x in (n, n_r))
+        rows.append((n, size, n_r, size_r, rng.randrange(1, n_r + 1), n_r + rng.randrange(40), rng.randrange(1, size_r + 1)))
+    df = spark.createDataFrame(rows, "n int, l int, n_r int, l_r int, n_lo int, n_hi int, l_lo int")
+    assert df.where(F.ceil(J.least_needed(90)) > J.needed("", "_r", 90)).count() == 0
+
+
+def test_clashing_columns_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5, "x"), (1, "a b c d", 5, "x"), (2, "a b c d", 6, None), (3, None, 7, "z"), (None, "a b c d", 8, "q"), (None, None, 9, "r")], "doc_id long, text string, token int, comp string")
+    assert sorted((r.token for r in J.keep_one(docs, 5, 80).collect())) == [5, 5, 7, 8, 9]
