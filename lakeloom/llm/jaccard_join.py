@@ -48,8 +48,6 @@ MOST_MATCHES = 8
 #: Cost of testing a candidate (two sets travel) against that of a posting; other texts met at a shingle not in the sketch.
 TEST_COST, RARE = 200, 0.1
 SEEN_NODES = 500_000
-#: Times that posting lists are shortened by their own bounds.
-SHORTENINGS = 2
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -292,11 +290,10 @@ def open_pairs(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
     core = staged(mixed.select("token", "node", "n", "l", "comp", place.alias("place")), "mixed")
     drop(named)
-    for _ in range(SHORTENINGS):
-        bounds = several(core, F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
-        kept = staged(core.join(bounds, "token").where(F.col("place") >= least_needed(percent)).select(core.columns), "mixed")
-        drop(core)
-        core = kept
+    bounds = several(core, F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
+    kept = staged(core.join(bounds, "token").where(F.col("place") >= least_needed(percent)).select(core.columns), "core")
+    drop(core)
+    core = kept
     main = core.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     rest = core.join(main, "token").where("comp <> main").select("token", "main", *(F.col(c).alias(f"{c}_r") for c in ("node", "n", "l", "comp", "place")))
     # A pair outside the token's main component would come twice.
