@@ -5,21 +5,21 @@
 2. A class of n shingles emits its first n - ceil(t n) + L shingles in that order. Two linked classes share at least
    min(L, L') of these. L is chosen per class: each step lengthens the prefix by one posting but divides the expected
    number of candidates, which are at most (postings met) / L, and the L of least expected cost is taken.
-3. Postings with one class are dropped. In every other posting list all classes are first set against one pivot, the
-   most central class; pairs that meet so in as many lists as their L, sizes and the tails beyond their prefixes demand
-   are tested, which joins most of a group of near copies in about as many tests as it has members.
-4. Only pairs that the links so far leave in different components can still matter. A class leaves the longest of its
-   lists, by their exact lengths, as many as its least demand allows, and classes meet in the others only if their
-   demand is met by the places of that list among both classes' lists: a pair shares that many, so it meets in the
-   shortest of them. What meets is tested. So no link between components is lost, and no group is expanded into all its
-   pairs.
+3. Postings with one class are dropped. Of its other lists a class leaves the longest, by their exact lengths: as many
+   as L, the sizes in a list and the tails beyond prefixes demand of any pair there, less one. A pair shares that many,
+   so it meets in the shortest list that both hold, and there both classes' places among their own lists, longest
+   first, meet the pair's own demand.
+4. In every list all classes are first set against one pivot, the most central class, and tested; that joins most of a
+   group of near copies in about as many tests as it has members. Then only pairs that the links so far leave in
+   different components can still matter, and those that meet are tested too. So no link between components is lost,
+   and no group is expanded into all its pairs.
 5. Tests compare whole sets. Components are found by label propagation with pointer jumping, in tables.
 
 Posting lists are only ever counted by partial aggregates and met in joins, which adaptive execution can split; no list
 is gathered in a task. Tables staged on the way are deleted when nothing reads them any more.
 
-Nodes are 64-bit hashes of the whole sorted set. Sets travel for classes in tested pairs alone; a Bloom filter
-of fixed size (a full one only saves less) keeps the others from being shuffled.
+Nodes are 64-bit hashes of the whole sorted set. Sets are kept for classes in tested pairs alone, told by a Bloom filter
+of fixed size (a full one only saves less).
 
 Defined results: null or wordless text is the empty set, linked with nothing: its component is its own doc_id; repeated
 rows give repeated result rows; a null doc_id keeps its row and has no part in the least doc_id; further columns are
@@ -143,30 +143,39 @@ def postings(docs: DataFrame, levels, width: int, percent: int) -> DataFrame:
     return doc_text(docs).mapInArrow(run, "token long, node long, n int, l int")
 
 
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """Postings (token, node, n, l) of tokens that several classes hold, each once."""
+def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
+    """Postings (token, node, n, l, place) at which a class can meet another that is similar enough.
+
+    place: the posting's number among the class's shared postings, longest lists first. Of the tokens that a pair shares,
+    take the one with the shortest list: needed() - 1 others come before it in both classes. So a posting counts only if
+    its place is the least_needed() of its list, at least.
+    """
     every = staged(rows, "postings")
-    held = every.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    shared = staged(every.join(held, "token", "left_semi"), "held")
-    once = staged(shared.groupBy("token", "node").agg(F.max("n").alias("n"), F.max("l").alias("l")), "shared")
-    drop(every, shared)
-    return once
+    lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("heat"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = every.join(lists.select("token", "heat"), "token").repartition("node")  # one exchange for the copies of a class and for places
+    once = shared.groupBy("node", "token").agg(F.max("heat").alias("heat"), F.max("n").alias("n"), F.max("l").alias("l"))
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
+    placed = staged(once.select("token", "node", "n", "l", place.alias("place")), "placed")
+    drop(every)
+    bounds = placed.groupBy("token").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
+    core = staged(placed.join(bounds, "token").where(F.col("place") >= least_needed(percent)).select(placed.columns), "core")
+    drop(placed)
+    return core
 
 
-def pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a class and the pivot of a token that both hold, if they meet so often enough to be similar.
+def pivot_pairs(core: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class and the pivot of a token that both hold, where their places allow a link.
 
     The pivot is the class with the largest share of its prefix in shared postings: of a group of near copies the one
     that differs least from the others.
     """
-    share = F.count(F.lit(1)) / (F.max("n") - F.max(tail("n", "l", percent)))
-    central = shared.groupBy("node").agg(share.alias("share"))
-    best = F.max(F.struct("share", F.xxhash64("node").alias("h"), "node", "n", "l")).alias("pivot")
-    pivots = shared.join(central, "node").groupBy("token").agg(best)
-    named = pivots.select("token", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("n_p"), F.col("pivot.l").alias("l_p"))
-    met = shared.join(named, "token").where((F.col("node") != F.col("pivot")) & sizes_allow(F.col("n"), F.col("n_p"), percent))
-    counted = met.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.max(needed("", "_p", percent)).alias("needed"))
-    return counted.where("common >= needed").select("a", "b")
+    share = F.max("place") / (F.max("n") - F.max(tail("n", "l", percent)))
+    central = core.groupBy("node").agg(share.alias("share"))
+    best = F.max(F.struct("share", F.xxhash64("node").alias("h"), "node", "n", "l", "place")).alias("pivot")
+    pivots = core.join(central, "node").groupBy("token").agg(best)
+    named = pivots.select("token", *(F.col(f"pivot.{c}").alias(f"{c}_p") for c in ("node", "n", "l", "place")))
+    met = core.join(named, "token").where((F.col("node") != F.col("node_p")) & can_link("_p", percent))
+    return met.select(F.least("node", "node_p").alias("a"), F.greatest("node", "node_p").alias("b")).distinct()
 
 
 def tail(n: str, l: str, percent: int) -> Column:  # noqa: E741
@@ -189,32 +198,49 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def bloom(nodes: DataFrame) -> np.ndarray:
-    """BLOOM_BITS bits, two for each node."""
-    bit = F.explode(F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BLOOM_BITS)) for k in range(2)))).alias("bit")
-    words = nodes.select(bit).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
+def can_link(other: str, percent: int) -> Column:
+    """Whether sizes and places of two classes at a common token allow a link."""
+    enough = F.least("place", f"place{other}") >= needed("", other, percent)
+    return sizes_allow(F.col("n"), F.col(f"n{other}"), percent) & enough
+
+
+def least_needed(percent: int) -> Column:
+    """A bound from below of needed() for a posting (n, l) and any other of its list, from the list's n_lo, n_hi and l_lo."""
+    lo = F.greatest("n_lo", F.ceil(F.lit(percent) * F.col("n") / 100))
+    hi = F.least("n_hi", F.floor(100 * F.col("n") / percent))
+    shared = lambda other: percent * (F.col("n") + other) / (100 + percent)
+    # needed() is least either at the least partner, by this set's own tail, or at the largest, by the partner's.
+    by_size = F.least(shared(lo) - tail("n", "l", percent), shared(hi) - F.lit(percent) * hi / 100 - 1 + F.col("l_lo"))
+    return F.greatest(F.least("l", "l_lo").cast("double"), by_size - 1e-6)
+
+
+def bit_of(k: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(k)), F.lit(BLOOM_BITS))
+
+
+def bloom(owners: DataFrame) -> np.ndarray:
+    """BLOOM_BITS bits, two for each (node, doc_id)."""
+    bit = F.explode(F.array(*(bit_of(k) for k in range(2)))).alias("bit")
+    words = owners.select(bit).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
     out = np.zeros(BLOOM_BITS // 64, np.int64)
     out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out
 
 
-def class_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the given nodes, each once."""
-    spark = docs.sparkSession
-    maybe = spark.sparkContext.broadcast(bloom(nodes))
+def class_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the given nodes, from the row of least doc_id that has the set; a few rows more do no harm.
+
+    The sets are written where they are made: the rows wanted are told by a Bloom filter, and nothing is shuffled.
+    """
+    owners = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    maybe = docs.sparkSession.sparkContext.broadcast(bloom(owners))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for part in parts:
-            for _, sets in _sets(part, width):
-                rows = []
-                for s in sets:
-                    if len(s) and (node := node_of(s)) not in seen:
-                        if len(seen) < SEEN_NODES:
-                            seen.add(node)
-                        rows.append((node, s.tobytes()))
-                if rows:
-                    yield _columns(rows, [pa.int64(), pa.binary()], ["node", "shingles"])
+            for ids, sets in _sets(part, width):
+                made = [(node_of(s), i, s.tobytes()) for i, s in zip(ids, sets, strict=True) if len(s)]
+                if made:
+                    yield _columns(made, [pa.int64(), pa.int64(), pa.binary()], ["node", "doc_id", "shingles"])
 
     def in_bloom(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = maybe.value
@@ -225,11 +251,8 @@ def class_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 ok &= (bits[at >> 6] >> (at & 63)) & 1 == 1
             yield part.filter(pa.array(ok)).select(["node", "shingles"])
 
-    made = doc_text(docs).mapInArrow(run, "node long, shingles binary")
-    tested = made.select("node", "shingles", *(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(BLOOM_BITS)).alias(f"b{k}") for k in range(2))).mapInArrow(in_bloom, "node long, shingles binary")
-    wanted = nodes.withColumnRenamed("node", "wanted")
-    once = tested.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    return once.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
+    made = doc_text(docs).mapInArrow(run, "node long, doc_id long, shingles binary")
+    return made.select("node", "shingles", *(bit_of(k).alias(f"b{k}") for k in range(2))).mapInArrow(in_bloom, "node long, shingles binary")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,41 +289,20 @@ def components(edges: DataFrame) -> DataFrame:
         comp, comp._lakeloom_path = new.select("node", "comp"), new._lakeloom_path
 
 
-def least_needed(percent: int) -> Column:
-    """A bound from below of needed() for a posting (n, l) and any other of its list, from the list's n_lo, n_hi and l_lo."""
-    lo = F.greatest("n_lo", F.ceil(F.lit(percent) * F.col("n") / 100))
-    hi = F.least("n_hi", F.floor(100 * F.col("n") / percent))
-    shared = lambda other: percent * (F.col("n") + other) / (100 + percent)
-    # needed() is least either at the least partner, by this set's own tail, or at the largest, by the partner's.
-    by_size = F.least(shared(lo) - tail("n", "l", percent), shared(hi) - F.lit(percent) * hi / 100 - 1 + F.col("l_lo"))
-    return F.greatest(F.least("l", "l_lo").cast("double"), by_size - 1e-6)
-
-
-def open_pairs(shared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that share enough prefix tokens and whose sizes allow a link.
-
-    Of the prefix tokens that a pair shares, take the one with the shortest list. In both classes at least needed() - 1
-    tokens of longer lists come before it. So a class drops from the lists that its least_needed() allows, longest first,
-    and pairs meet only where the places of both are needed() at least.
-    """
-    token = shared.join(comp, "node", "left").select("token", "node", "n", "l", F.coalesce("comp", "node").alias("comp"))
-    named = staged(token, "named")
-    several = lambda df, *more: df.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *more).where("low <> high").drop("low", "high")
-    mixed = named.join(several(named, F.count(F.lit(1)).alias("heat")), "token")
-    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
-    core = staged(mixed.select("token", "node", "n", "l", "comp", place.alias("place")), "mixed")
+def open_pairs(core: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components whose sizes and places at a common token allow a link."""
+    named = staged(core.join(comp, "node", "left").select(*core.columns, F.coalesce("comp", "node").alias("comp")), "named")
+    counts = named.groupBy("token", "comp").count()
+    main = counts.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = staged(named.join(main.drop("comps"), "token"), "mixed")
     drop(named)
-    bounds = several(core, F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
-    kept = staged(core.join(bounds, "token").where(F.col("place") >= least_needed(percent)).select(core.columns), "core")
-    drop(core)
-    core = kept
-    main = core.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    rest = core.join(main, "token").where("comp <> main").select("token", "main", *(F.col(c).alias(f"{c}_r") for c in ("node", "n", "l", "comp", "place")))
+    rest = mixed.where("comp <> main").select("token", *(F.col(c).alias(f"{c}_r") for c in ("node", "n", "l", "comp", "place")))
     # A pair outside the token's main component would come twice.
     once = (F.col("comp") == F.col("main")) | (F.col("node_r") < F.col("node"))
-    enough = F.least("place", "place_r") >= needed("", "_r", percent)
-    met = rest.join(core, "token").where((F.col("comp") != F.col("comp_r")) & once & sizes_allow(F.col("n"), F.col("n_r"), percent) & enough)
-    return met.select(F.least("node", "node_r").alias("a"), F.greatest("node", "node_r").alias("b")).distinct()
+    met = rest.join(mixed, "token").where((F.col("comp") != F.col("comp_r")) & once & can_link("_r", percent))
+    pairs = staged(met.select(F.least("node", "node_r").alias("a"), F.greatest("node", "node_r").alias("b")).distinct(), "pairs")
+    drop(mixed)
+    return pairs
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -313,17 +315,17 @@ def link_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     ship(spark)
     rows = staged(classify(docs, width), "classes")
     levels = spark.sparkContext.broadcast(frequency_levels(rows))
-    shared = shared_postings(postings(docs, levels, width, percent))
-    star = staged(pivot_pairs(shared, percent), "star")
-    sets = staged(class_sets(docs, ends(star), width), "sets")
+    core = shared_postings(postings(docs, levels, width, percent), percent)
+    star = staged(pivot_pairs(core, percent), "star")
+    sets = staged(class_sets(docs, rows, ends(star), width), "sets")
     found = staged(links(star, sets, percent), "links")
     comp = components(found)
-    pairs = staged(open_pairs(shared, comp, percent), "pairs")
+    pairs = open_pairs(core, comp, percent)
     rest = staged(pairs.join(star, ["a", "b"], "left_anti"), "rest")
-    drop(shared, star, pairs)
+    drop(core, star, pairs)
     if rest.limit(1).count():
-        new = staged(ends(rest).join(sets.select("node"), "node", "left_anti"), "new")
-        more = staged(class_sets(docs, new, width), "sets")
+        new = staged(ends(rest).join(sets.select("node").distinct(), "node", "left_anti"), "new")
+        more = staged(class_sets(docs, rows, new, width), "sets")
         comp = components(found.union(links(rest, sets.union(more), percent)))
         drop(new, more)
     drop(sets, found, rest)
