@@ -14,7 +14,8 @@ Positions (code points, end exclusive) are running sums of the lengths of matche
 Parts are shuffled by row; texts are not.
 
 Defined results: null text is the empty text, which has no parts; repeated rows are scanned each (rows are told apart
-by a row number of the scan); null doc_id stays null; further columns are ignored (scan) or pass through (redact).
+by a row number of the scan); null doc_id stays null; further columns are ignored (scan) or pass through (redact);
+empty tables give no rows; a text of any length, also of blank lines or one long value alone, is scanned whole.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ KINDS = {
 BASE = ("assign", "access", "hex")
 ROLES = ("identifier", "secret", "endpoint")
 LEAST_VALUE = 8
-SCOPE_BREAK = r"\n[ \t\r]*(?:\n[ \t\r]*)+"
+#: Possessive runs of single classes: a group in a loop would recurse in Java's matcher, once for each blank line.
+SCOPE_BREAK = r"\n[ \t\r]*+\n[ \t\r\n]*+"
 PART = "struct<kind:int,i:int,gap:int,len:int,breaks:int,ok:boolean>"
 
 

@@ -91,3 +91,17 @@ def test_overlap(spark):
     """A part that starts within another and ends after it is removed whole."""
     docs = spark.createDataFrame([(1, "https://h.example.com login=auth: Ab1+/Ab1+/", "", 5), (2, "https://h.example.com user:pwd=Ab1+/Ab1+/", "", 5), (3, "https://h.example.com user=auth.token=Ab1!Ab", "", 5)], "doc_id long, text string, row string, n_chars long")
     assert all("Ab1" not in r.text for r in secrets.redact(docs).collect())
+
+
+def test_very_long_runs(spark):
+    """Blank lines, one value and one line without end: no pattern may recurse."""
+    rows = [(1, "password=abcdefgh1" + "\n" * 1_000_000 + "token=abcdefgh2"), (2, "secret=" + "x" * 1_000_000), (3, "host=db.example.com auth=" + "y" * 1_000_000 + " user=bob"), (4, "a." * 500_000), (5, "\n \t\r" * 250_000)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].spans == "assign:0:18,assign:1000018:1000033" and got[2].spans == "assign:0:1000007"
+    assert f"weak_secret:20:{20 + 5 + 1_000_000}" in got[3].spans and got[4].spans == got[5].spans == ""
+
+
+def test_redact_covers_overlaps(spark):
+    rows = [(1, "host=db.example.com user=pwd=abc1 x"), (2, "host=db.example.com auth=" + "s" * 5000 + " user=bob1")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "abc1" not in got[1] and "sss" not in got[2] and got[1].endswith(" x")
