@@ -13,7 +13,7 @@ correction), and the last certified one is taken. The risks of a stratum's rules
 Counting is one aggregation by stratum; what reaches the driver is a row per stratum and rule (strata come from a
 fixed list). Applying cutoffs is a projection, so texts are never shuffled.
 
-Defined results: null text has no words (base rules reject it); null or unknown lang is the stratum 'other'; null
+Defined results: null text has no words (base rules reject it); null, unknown or no lang is the stratum 'other'; null
 measures don't exist; repeated rows are judged alike; labels without a document, with a null or repeated once more
 (the largest quality counts) are harmless; further columns pass through. Empty labels certify nothing.
 """
@@ -74,8 +74,14 @@ def repeated_words(words: Column) -> Column:
     return let(words, counted)
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) and the whole row as `own`, whose names then can't clash; without a column lang it is null."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", "text", lang.alias("lang"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with a struct column q of counts and measures."""
+    """prepared() rows with a struct column q of counts and measures."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = words_of(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
@@ -97,14 +103,13 @@ def measure(docs: DataFrame) -> DataFrame:
     first = first.withColumn("_s", F.struct(count(SYMBOLS).alias("n_symbols"), count(r"\p{Lu}").alias("n_upper"), count("[!?]").alias("n_marks")))
     n = F.greatest(F.col("_w.n_words"), F.lit(1)).cast("double")
     failed = (F.col("_row") >= 0) & ((F.col("_w.n_words") < LEAST_WORDS) | (100 * F.col("_w.n_repeat_words") > MOST_REPEATED * F.col("_w.n_words")))
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     q = F.struct(
         *(F.col(f"_w.{c}").alias(c) for c in ("n_words", "word_chars")),
         F.col("_s.n_symbols").alias("n_symbols"),
         F.col("_l.n_dup_lines").alias("n_dup_lines"),
         F.col("_w.n_repeat_words").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.when(lang.isin(*STRATA), lang).otherwise("other").alias("stratum"),
+        F.when(F.col("lang").isin(*STRATA), F.col("lang")).otherwise("other").alias("stratum"),
         (F.col("_s.n_symbols") / n).alias("symbol_rate"),
         (F.col("_s.n_upper") / F.greatest(F.col("_w.word_chars"), F.lit(1))).alias("upper_share"),
         (F.col("_s.n_marks") / n).alias("mark_rate"),
@@ -157,7 +162,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts and verdict of each row; texts are measured once and the measures kept in the shared folder."""
     from lakeloom.llm.common import staged
 
-    measured = staged(measure(docs.select("doc_id", "text", "lang")).select("doc_id", "q"), "quality")
+    measured = staged(measure(prepared(docs)).select("doc_id", "q"), "quality")
     kept = verdict(certify(measured, labels))
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "stratum", *RULES)
     return measured.select("doc_id", *(f"q.{c}" for c in shown[:6]), kept.alias("kept"), *(f"q.{c}" for c in shown[6:]))
@@ -168,6 +173,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The cutoffs are certified on the labelled rows of docs alone; measuring those first spares a second pass.
     """
-    labelled = docs.select("doc_id", "text", "lang").join(labels.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
+    rows = prepared(docs)
+    labelled = rows.drop("own").join(labels.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
     kept = verdict(certify(measure(labelled), labels))
-    return measure(docs).where(kept).drop("q")
+    return measure(rows).where(kept).select("own.*")

@@ -69,3 +69,12 @@ def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(empty, labels).count() == 0
     assert quality.keep_good(empty, labels).columns == empty.columns
+
+
+def test_clashing_columns_and_no_lang(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, text, "a", "b", "c", "d", 5, 6), (2, "few words", "a", "b", "c", "d", 5, 6), (1, text, None, None, None, None, None, None)], "doc_id long, text string, q string, _w string, _l string, _s string, _row int, own int")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(r.q or "" for r in kept.collect()) == ["", "a"]
+    assert sorted((r.doc_id, r.kept, r.stratum) for r in quality.judge(docs, labels).collect()) == [(1, True, "other"), (1, True, "other"), (2, False, "other")]
