@@ -80,6 +80,10 @@ def write_media(payload: bytes) -> bytes:
     return ftyp + moov(head) + box(b"mdat", payload)
 
 
+#: Real files nest about ten deep; more is damage, and reported.
+MOST_DEPTH = 64
+
+
 def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
     """(path of box kinds, start and end of the content), parents first."""
     end = len(data) if end is None else end
@@ -97,6 +101,8 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple =
             raise ValueError(f"box of {size} bytes at {at}")
         yield (*path, kind), at + head, at + size
         if kind in CONTAINERS:
+            if len(path) == MOST_DEPTH:
+                raise ValueError(f"boxes nested over {MOST_DEPTH} deep at {at}")
             yield from walk(data, at + head, at + size, (*path, kind))
         at += size
 
@@ -122,7 +128,7 @@ class Track:
         self.scale = scale
         at, end = boxes[b"stsz"]
         size, n = struct.unpack_from(">II", data, at + 4)
-        if size == 0 and at + 12 + 4 * n > end:
+        if at + 12 + 4 * n > end if size == 0 else size * n > len(data):
             raise ValueError("cut sizes")
         sizes = [size] * n if size else list(struct.unpack_from(f">{n}I", data, at + 12))
         offsets = [o for (o,) in (_rows(data, *boxes[b"co64"], "Q") if b"co64" in boxes else _rows(data, *boxes[b"stco"], "I"))]

@@ -78,3 +78,15 @@ def test_video_track_and_fragments(spark):
     found = {r.id: r for r in M.index_media(rows).collect()}
     assert found[1].codec == "avc1" and [tuple(k) for k in found[1].keyframes] == [(at + 3, at + 6)] and found[1].error is None
     assert found[2].codec == "avc1" and found[2].keyframes == found[1].keyframes and found[2].error == "fragments not decoded"
+
+
+def test_damaged_media_is_reported(spark):
+    nested = b""
+    for _ in range(1500):
+        nested = struct.pack(">I4s", len(nested) + 8, b"moov") + nested
+    good = M.write_media(bytes(576))
+    at = good.find(b"stsz")
+    huge = good[: at + 12] + b"\xff" * 4 + good[at + 16 :]
+    rows = [(1, bytearray(nested)), (2, bytearray(huge)), (3, None), (4, bytearray(b"")), (5, bytearray(b"\0\0\0\1moov"))]
+    got = {r.id: r for r in M.index_media(spark.createDataFrame(rows, "id long, content binary")).collect()}
+    assert len(got) == 5 and all(r.error and r.codec is None for r in got.values())
