@@ -271,7 +271,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 def _score(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(texts) // BUCKET_BYTES, 1 << 16))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(texts) // BUCKET_BYTES)
 
     def send_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, c in chunks(parts):
