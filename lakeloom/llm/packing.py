@@ -3,8 +3,8 @@
 Every partition packs its own documents, so nothing is shuffled. A document is its token ids and one end id. Documents
 longer than a window are cut into full windows and a rest; the rests, longest first, go to the open window with the
 tightest remaining capacity that still holds them, which a segment tree over capacities finds in log2(window) steps.
-What stays open beyond MOST_OPEN tokens of padding at the partition's end is cut again: the pieces of those windows,
-in a row, fill full windows, and their last tokens fill windows at powers of two, which need no padding.
+A partition's windows then stay as best fit made them, but for the emptiest: just enough of these are cut up to fill
+what the others lack, and what is left of them fills full windows and last ones at powers of two, which need no padding.
 
 Tokens: the normaliser and the splitter of the tokenizer file work on each word alone, so the ids of a unit of text
 between single spaces are remembered and reused; units are encoded by the library.
@@ -12,7 +12,7 @@ between single spaces are remembered and reused; units are encoded by the librar
 Defined results: null text is the empty text (the end id alone); repeated rows are packed each; null doc_id stays null;
 further columns are ignored; sequence_id is partition << 33 | number, so it repeats when a lost task runs again.
 
-Memory: per partition, 40 bytes for each document's rest and the units remembered (emptied at MOST_UNITS).
+Memory: per partition, each document's rest (two bytes a token for vocabularies under 65,536) and the units remembered (emptied at MOST_UNITS).
 """
 
 from __future__ import annotations
@@ -37,8 +37,6 @@ LETTERS = "a-zÀ-ÖØ-öø-ÿ"
 MARK = re.compile(rf"(?<=[{LETTERS}])([.,;:!?#*$%&|<>]+) ")
 #: Units of letters alone are one word each, so many go to the library in one text and its word ends part them again.
 ONE_WORD, AT_ONCE = re.compile(f"[{LETTERS}]+").fullmatch, 2_000
-#: A window with more padding than this when its partition ends is cut again.
-MOST_OPEN = 0
 
 
 class Tree:
@@ -96,27 +94,35 @@ def plan(lengths: list[int], window: int) -> list[tuple[int, int, int, int, int]
             sequence += 1
         if n % window:
             rests.append(i)
-    loose = []
-    for members in best_fit([lengths[i] % window for i in rests], window):
-        own = [(rests[k], lengths[rests[k]] // window * window, lengths[rests[k]] % window) for k in members]
-        used = sum(n for *_, n in own)
-        if window - used > MOST_OPEN and used & (used - 1):
-            loose += own
-            continue
+    # A window is done if it is full or at a power of two. The emptiest of the others are cut up to fill what the rest lack.
+    windows = [[(rests[k], lengths[rests[k]] // window * window, lengths[rests[k]] % window) for k in members] for members in best_fit([lengths[i] % window for i in rests], window)]
+    used = [sum(n for *_, n in own) for own in windows]
+    lacking = sorted((w for w, n in enumerate(used) if n < window and n & (n - 1)), key=lambda w: (-used[w], w))
+    gap, supply, loose = sum(window - used[w] for w in lacking), 0, []
+    while supply < gap:
+        w = lacking.pop()
+        gap, supply = gap - window + used[w], supply + used[w]
+        loose += windows[w]
+        windows[w] = []
+    for own in windows:
         offset = 0
         for i, start, n in own:
             pieces.append((i, start, n, sequence, offset))
             offset += n
-        sequence += 1
+        sequence += bool(own)
+    number = {w: k for k, w in enumerate((w for w, own in enumerate(windows) if own), sequence - sum(map(bool, windows)))}
+    rooms = iter([(number[w], used[w], window - used[w]) for w in lacking])
+    at = offset = room = 0
     left = sum(n for *_, n in loose)
-    room = offset = 0
     for i, start, n in loose:
         while n:
             if not room:
-                room = window if left >= window else 1 << left.bit_length() - 1
-                sequence, offset = sequence + 1, 0
+                at, offset, room = next(rooms, (sequence, 0, 0))
+                if not room:
+                    room = window if left >= window else 1 << left.bit_length() - 1
+                    sequence += 1
             take = min(n, room)
-            pieces.append((i, start, take, sequence - 1, offset))
+            pieces.append((i, start, take, at, offset))
             start, n, room, offset, left = start + take, n - take, room - take, offset + take, left - take
     return pieces
 
@@ -135,10 +141,7 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.whole = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)").search
 
-    def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.units]
-        if len(self.units) + len(new) > MOST_UNITS:
-            self.units, new = {}, list(units)
+    def learn(self, new: set[str]) -> None:
         words = [u for u in new if ONE_WORD(u)]
         for start in range(0, len(words), AT_ONCE):
             part = words[start : start + AT_ONCE]
@@ -154,10 +157,28 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if self.whole(t) else MARK.sub(r" \1 ", t.encode().translate(PLAIN).decode()).split(" ") for t in texts]
-        self.learn({u for s in split if s is not None for u in s})
-        known = self.units
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if s is None else b"".join([known[u] for u in s]) for t, s in zip(texts, split, strict=True)]
+        out: list[bytes] = []
+        open_texts: list[tuple[int, list[str]]] = []
+        missing: set[str] = set()
+        for t in texts:
+            if self.whole(t):
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            units = MARK.sub(r" \1 ", t.encode().translate(PLAIN).decode()).split(" ")
+            found = list(map(self.units.get, units))
+            if None in found:
+                missing.update(u for u, f in zip(units, found, strict=True) if f is None)
+                open_texts.append((len(out), units))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        if len(self.units) + len(missing) > MOST_UNITS:
+            self.units.clear()
+            missing = {u for _, units in open_texts for u in units}
+        self.learn(missing)
+        for i, units in open_texts:
+            out[i] = b"".join(map(self.units.__getitem__, units))
+        return out
 
 
 _words: dict[str, Words] = {}
@@ -172,6 +193,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
         if path not in _words:
             _words[path] = Words(path)
         words, base = _words[path], TaskContext.get().partitionId() << 33
+        small = "<u2" if max(len(words.ends), end_id + 1) <= 1 << 16 else "<u4"
         doc_ids, lengths, kept = [], [], []
         full: list[tuple] = []
         sequence = 0
@@ -192,15 +214,15 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
                     if n % window:
                         doc_ids.append(doc_id)
                         lengths.append(n)
-                        kept.append(zlib.compress(ids[4 * (n - n % window) :], 1))
+                        kept.append(np.frombuffer(ids, "<u4")[n - n % window :].astype(small).tobytes())
                 if full:
                     yield emit(full)
                     full.clear()
         rests = [n % window for n in lengths]
         out = []
         for i, start, n, own, offset in plan(rests, window):
-            ids = zlib.decompress(kept[i])
-            out.append((doc_ids[i], lengths[i] - rests[i] + start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), lengths[i], base + sequence + own, offset))
+            ids = np.frombuffer(kept[i], small)[start : start + n].astype("<u4")
+            out.append((doc_ids[i], lengths[i] - rests[i] + start, n, zlib.crc32(ids.tobytes()), lengths[i], base + sequence + own, offset))
             if len(out) == 20_000:
                 yield emit(out)
                 out = []
