@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.identity import domain_hash
-from lakeloom.llm.common import ship, staged
+from lakeloom.session import ship, staged
 
 BODY = "lakeloom:body"
 
