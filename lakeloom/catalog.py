@@ -35,7 +35,7 @@ def _hash(domain: str, value: str) -> str:
 BODY = _hash(dedup.BODY, "text")
 
 
-@query(f"SELECT {BODY} AS body_hash, min(doc_id) AS canonical, count(*) AS n_members, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT body_hash, canonical, n_members, doc_id FROM (SELECT doc_id, {BODY} AS body_hash, min(doc_id) OVER (PARTITION BY text) AS canonical, count(*) OVER (PARTITION BY text) AS n_members FROM documents) WHERE n_members > 1")
 def exact_duplicate_groups(documents):
     return dedup.exact_groups(documents)
 
@@ -98,11 +98,6 @@ def title_ambiguity(part):
     return links.ambiguous_keys(part, "p_name", "p_partkey")
 
 
-@query()
-def path_allocation(part):
-    return links.allocate_paths(part, "p_name", "p_partkey")
-
-
 @query("SELECT l_orderkey, section, count(*) AS n_blocks FROM (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE UNBOUNDED PRECEDING) AS section FROM lineitem) GROUP BY 1, 2")
 def section_blocks(lineitem):
     return closure.section_blocks(lineitem, "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R").groupBy("l_orderkey", "section").agg(F.count(F.lit(1)).alias("n_blocks"))
@@ -130,8 +125,8 @@ def disposition_closure(labels):
 
 
 PHONES = "list_filter(regexp_extract_all(text, '[0-9+][0-9+() -]*'), lambda m: length(regexp_replace(m, '[^0-9]', '', 'g')) >= 10)"
-EMAILS = r"list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda t: regexp_replace(t, '^[,.;:()<>]+|[,.;:()<>]+$', '', 'g')), lambda t: regexp_matches(t, '^[^@]+@[^@]*\.[^@]*[^@.]$'))"
-MARKERS = r"""regexp_extract_all(text, '(?:sk-|ghp_|AKIA|postgres://|mongodb://)[^\s"''`<>]+|-----BEGIN (?:RSA )?PRIVATE KEY-----')"""
+EMAILS = r"list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda t: regexp_replace(t, '^[,.;:()<>]+|[,.;:()<>]+$', '', 'g')), lambda t: regexp_matches(t, '^[^@]+@.*\..*[^.]$'))"
+MARKERS = r"""regexp_extract_all(text, '(?:sk-|ghp_|AKIA|postgres://|mongodb://)[^\s"''`<>]+|-----BEGIN (?:OPENSSH )?PRIVATE KEY-----')"""
 
 
 @query(f"SELECT * FROM (SELECT doc_id, len({EMAILS})::BIGINT AS n_emails, len({PHONES})::BIGINT AS n_phones, len({MARKERS})::BIGINT AS n_markers FROM documents) WHERE n_emails + n_phones + n_markers > 0")
@@ -216,7 +211,7 @@ def near_duplicates(documents):
     return dedup.near_duplicates(documents, "doc_id")
 
 
-@query(r"""SELECT page_id, CASE e WHEN 'md' THEN 'markdown' WHEN 'canvas' THEN 'canvas' WHEN 'base' THEN 'base' ELSE 'asset' END AS kind, CASE e WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'gif' THEN 'image/gif' WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'html' THEN 'text/html' ELSE 'application/octet-stream' END AS media, regexp_matches(url, '(^|/)(\.git|\.obsidian|\.DS_Store|\.env|id_rsa|credentials\.json)(/|$)|\.(exe|dll|so|pem|key|sh)$') AS excluded
+@query(r"""SELECT page_id, CASE e WHEN 'md' THEN 'markdown' WHEN 'canvas' THEN 'canvas' WHEN 'base' THEN 'base' ELSE 'asset' END AS kind, CASE e WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'gif' THEN 'image/gif' WHEN 'svg' THEN 'image/svg+xml' WHEN 'pdf' THEN 'application/pdf' WHEN 'mp3' THEN 'audio/mpeg' WHEN 'mp4' THEN 'video/mp4' ELSE 'application/octet-stream' END AS media, regexp_matches(url, '(^|/)(\.git|\.obsidian|\.DS_Store|\.env|id_rsa|credentials\.json)(/|$)|\.(exe|dll|so|pem|key|sh)$') AS excluded
 FROM (SELECT page_id, url, lower(regexp_extract(url, '[^/.]\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)""")
 def file_kinds(pages):
     url = F.col("url")

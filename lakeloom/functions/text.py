@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Media types by extension, and what never enters a corpus.
-MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "pdf": "application/pdf", "txt": "text/plain", "html": "text/html"}
+MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "pdf": "application/pdf", "mp3": "audio/mpeg", "mp4": "video/mp4"}
 DENIED_NAMES = r"\.git|\.obsidian|\.ds_store|\.env(\.[^/]*)?|id_rsa|id_dsa|id_ecdsa|id_ed25519|credentials|credentials\.json|\.npmrc|\.pypirc|\.netrc|secrets\.[^/]*"
 DENIED_EXTENSIONS = "exe com scr dll dylib so app msi msp bat cmd ps1 sh bash zsh fish command vbs vbe js jse mjs cjs wsf wsh hta jar class wasm apk deb rpm dmg pkg key pem p12 pfx".split()
 EXCLUDED = rf"(^|/)({DENIED_NAMES})(/|$)|[^/]\.({'|'.join(DENIED_EXTENSIONS)})$"
@@ -67,7 +67,7 @@ def normalize_link(path: Column) -> Column:
 def emails(text: Column) -> Column:
     """White-space tokens that look like addresses, without punctuation around them."""
     tokens = F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[,.;:()<>]+|[,.;:()<>]+$", ""))
-    return F.filter(tokens, lambda t: t.rlike(r"^[^@]+@[^@]*\.[^@]*[^@.]$"))
+    return F.filter(tokens, lambda t: t.rlike(r"^[^@]+@.*\..*[^.]$"))
 
 
 def phones(text: Column) -> Column:
@@ -77,4 +77,4 @@ def phones(text: Column) -> Column:
 
 def markers(text: Column) -> Column:
     """Credential markers followed by something other than white space, quotes and angle brackets."""
-    return F.regexp_extract_all(text, F.lit(r"""(?:sk-|ghp_|AKIA|postgres://|mongodb://)[^\s"'`<>]+|-----BEGIN (?:RSA )?PRIVATE KEY-----"""), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"""(?:sk-|ghp_|AKIA|postgres://|mongodb://)[^\s"'`<>]+|-----BEGIN (?:OPENSSH )?PRIVATE KEY-----"""), F.lit(0))

@@ -10,24 +10,30 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.functions.identity import domain_hash
+from lakeloom.functions.identity import domain_hash, parts_hash
 from lakeloom.session import ship, staged
 
 BODY = "lakeloom:body"
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """Groups of equal texts: hash, least doc_id, size, and all doc_ids in order."""
-    return docs.groupBy(domain_hash(BODY, F.col("text")).alias("body_hash")).agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n_members"), F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("members")).where("n_members > 1")
+    """(body_hash, canonical, n_members, doc_id): a row per member of a group of equal texts; canonical is the least doc_id.
+
+    Null texts are equal to each other, with a null hash; members are rows, so no group is gathered.
+    """
+    hashed = docs.select("doc_id", domain_hash(BODY, F.col("text")).alias("body_hash"))
+    groups = hashed.groupBy("body_hash").agg(F.min("doc_id").alias("canonical"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
+    return hashed.alias("a").join(groups.alias("b"), F.col("a.body_hash").eqNullSafe(F.col("b.body_hash"))).select("a.body_hash", "canonical", "n_members", "doc_id")
 
 
 def representative_map(docs: DataFrame) -> DataFrame:
-    """Each document's representative: the least doc_id with its text."""
+    """Each document's representative: the least doc_id with its text; null texts are equal to each other."""
     hashed = docs.select("doc_id", domain_hash(BODY, F.col("text")).alias("body_hash"))
     least = hashed.groupBy("body_hash").agg(F.min("doc_id").alias("representative"))
-    return hashed.join(least, "body_hash").select("doc_id", "representative")
+    return hashed.alias("a").join(least.alias("b"), F.col("a.body_hash").eqNullSafe(F.col("b.body_hash"))).select("doc_id", "representative")
 
 
 def metadata_conflicts(docs: DataFrame) -> DataFrame:
@@ -121,3 +127,40 @@ def near_duplicates(texts: DataFrame, key: str, least: float = 0.85, rows: int =
     equal = F.size(F.filter(F.zip_with("left_signature", "right_signature", lambda p, q: p == q), lambda e: e))
     scored = pairs.join(x, "left").join(y, "right").select(F.lit("pair").alias("kind"), "left", "right", (equal / F.lit(float(COMPONENTS))).alias("similarity"))
     return members.union(scored.where(F.col("similarity") >= least))
+
+
+def published_signature(text: str, domain: str, components: int = COMPONENTS, width: int = WIDTH) -> list[int] | None:
+    """The signature of SHA-256 hashes: of each component the least first eight bytes of the parts hash of the domain, the
+    component's number and a shingle. Texts under a shingle's graphemes have none; they match equal texts alone."""
+    graphemes = regex.findall(r"\X", text)
+    shingles = {"".join(graphemes[i : i + width]).encode() for i in range(len(graphemes) - width + 1)}
+    return [min(int.from_bytes(parts_hash(domain, c.to_bytes(4, "big"), s)[:8], "big") for s in shingles) for c in range(components)] if shingles else None
+
+
+def greedy_cap(pairs: DataFrame, most: int) -> DataFrame:
+    """Pairs (left, right, similarity) that a pass from the most similar on accepts, if no key may have over `most`.
+
+    Ties go by left and right. In rounds: a pair that is among the best undecided ones of both its ends, as many as they
+    have room, fits whatever else is accepted; a pair with an end without room is out. The best pair of all is decided in
+    each round, so rounds end, and each is two windows whose ranks stop at `most`.
+    """
+    order = lambda key: W.partitionBy(key).orderBy(F.desc("similarity"), "left", "right")
+    open_pairs, accepted = staged(pairs.select("left", "right", "similarity"), "pairs"), None
+    while open_pairs.limit(1).count():
+        used = None
+        if accepted is not None:
+            used = accepted.select(F.explode(F.array("left", "right")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        now = open_pairs
+        for side in ("left", "right"):
+            n = F.lit(0).cast("long")
+            if used is not None:
+                now, n = now.join(used.select(F.col("key").alias(side), F.col("n").alias(f"{side}_n")), side, "left"), F.coalesce(f"{side}_n", F.lit(0))
+            now = now.withColumn(f"{side}_room", F.lit(most) - n)
+        ends = now.where("left_room > 0 AND right_room > 0")
+        both = ends.select("left", "right", "similarity", F.explode(F.array(F.struct(F.col("left").alias("key"), F.col("left_room").alias("room")), F.struct(F.col("right").alias("key"), F.col("right_room").alias("room")))).alias("e"))
+        ranked = both.select("left", "right", "similarity", "e.key", "e.room").withColumn("rank", F.row_number().over(order("key")))
+        decided = staged(ranked.groupBy("left", "right", "similarity").agg(F.min((F.col("rank") <= F.col("room"))).alias("fits")), "decided")
+        won = decided.where("fits").drop("fits")
+        accepted = staged(won if accepted is None else accepted.union(won), "accepted")
+        open_pairs = staged(decided.where("NOT fits").drop("fits"), "pairs")
+    return pairs.limit(0).select("left", "right", "similarity") if accepted is None else accepted

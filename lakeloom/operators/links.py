@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeloom.functions.identity import base32_suffix, domain_hash
 from lakeloom.functions.text import is_external, lookup_key, normalize_link
 
 HREF = r'<a [^>]*href="([^"]*)"'
@@ -33,10 +31,3 @@ def resolve(pages: DataFrame) -> DataFrame:
 def ambiguous_keys(rows: DataFrame, key: str, member: str) -> DataFrame:
     """Lookup keys that several members share."""
     return rows.groupBy(lookup_key(F.col(key)).alias("lookup_key")).agg(F.countDistinct(member).alias("n_members"), F.min(member).alias("least")).where("n_members > 1")
-
-
-def allocate_paths(rows: DataFrame, path: str, member: str) -> DataFrame:
-    """The first member of a path keeps it; each later one gets a suffix from its identity."""
-    rn = F.row_number().over(W.partitionBy(lookup_key(F.col(path))).orderBy(member))
-    suffix = base32_suffix(domain_hash("lakeloom:path", F.col(member)), 8)
-    return rows.select(member, F.when(rn == 1, F.col(path)).otherwise(F.concat(F.col(path), F.lit("~"), suffix)).alias("allocated"))

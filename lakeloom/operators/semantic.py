@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,9 +37,22 @@ def top_k(vectors: DataFrame, least: float, k: int, block: int = 1024) -> DataFr
         p, q = np.nonzero(score >= np.float32(least))
         a, c, s = ids[left[p]], ids[right[q]], score[p, q]
         keep = a < c if i == j else a != c
-        a, c, s = a[keep], c[keep], s[keep]
-        return pa.table({"vec_id": np.minimum(a, c), "neighbour": np.maximum(a, c), "score": s.astype(np.float64)})
+        a, c, s = np.minimum(a, c)[keep], np.maximum(a, c)[keep], s[keep]
+        order = np.lexsort((c, -s, a))
+        a, c, s = a[order], c[order], s[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        best = place < k
+        return pa.table({"vec_id": a[best], "neighbour": c[best], "score": s[best].astype(np.float64)})
 
     found = dealt.groupBy("i", "j").applyInArrow(near, "vec_id long, neighbour long, score double")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("neighbour").alias("n")))), 1, k)
-    return found.groupBy("vec_id").agg(best.alias("best")).select("vec_id", F.explode("best").alias("x")).select("vec_id", F.col("x.n").alias("neighbour"), F.round(-F.col("x.s"), 5).alias("score"))
+    # Ranks up to k are cut before the exchange, too.
+    place = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("vec_id", "neighbour", F.round("score", 5).alias("score"))
+
+
+def invalid(vectors: DataFrame, dims: int) -> DataFrame:
+    """(vec_id, problem): vectors of another length, with null or infinite elements or NaN, or of no length at all."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    zero = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + F.abs(x.cast("double"))) == 0
+    problem = F.when(F.col("embedding").isNull() | (F.size("embedding") != dims), "length").when(bad, "not finite").when(zero, "zero")
+    return vectors.select("vec_id", problem.alias("problem")).where("problem IS NOT NULL")

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
-from lakeloom import catalog
+from lakeloom import catalog, note_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
