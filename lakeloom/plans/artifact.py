@@ -88,7 +88,10 @@ def explain(records: DataFrame, path: str) -> str:
 
 
 def publish(outputs: DataFrame, folder: str) -> None:
-    """Write outputs as files of a new folder: tasks write into a hidden sibling, which is renamed; an existing one raises."""
+    """Write outputs as files of a new folder: tasks write into a hidden sibling, which is renamed; an existing one raises.
+
+    The folder must be on a disk that driver and executors share.
+    """
     import os
     from collections.abc import Iterator
 

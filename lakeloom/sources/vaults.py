@@ -63,7 +63,7 @@ def ignore_regex(patterns: list[str]) -> str:
         if p.startswith("!"):
             raise ValueError(f"negated pattern {line!r}")
         rooted, folder = "/" in p.rstrip("/"), p.endswith("/")
-        body = re.sub(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\]|.", lambda m: {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(m[0]) or (m[0].replace("[!", "[^") if m[0][0] == "[" and len(m[0]) > 1 else re.escape(m[0])), p.strip("/"))
+        body = re.sub(r"/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\]|.", lambda m: {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(m[0]) or (m[0].replace("[!", "[^") if m[0][0] == "[" and len(m[0]) > 1 else re.escape(m[0])), p.strip("/"))
         out.append(("^" if rooted else "(?:^|/)") + body + ("/" if folder else "(?:/|$)"))
     return "|".join(out) or "(?!)"
 
