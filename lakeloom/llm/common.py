@@ -1,70 +1,15 @@
-"""Shared pieces: code shipping, shared folders, input preparation."""
+"""Shared pieces: input preparation, and the library's code shipping and shared folders."""
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lakeloom_shipped", False):
-        return
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, f"{PACKAGE.name}_{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for f in sorted(PACKAGE.rglob("*.py")):
-            out.write(f, f.relative_to(PACKAGE.parent))
-    sc.addPyFile(path)
-    sc._lakeloom_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a temporary one in local mode only."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else None
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lakeloom_shared_")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lakeloom/{what}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._lakeloom_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, through the Hadoop file system they are on."""
-    for df in tables:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(df._lakeloom_path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+from lakeloom.session import drop, scratch, shared_dir, ship, staged
 
+__all__ = ["SPACES", "WORD", "WORD_CLASS", "doc_text", "drop", "input_bytes", "scratch", "shared_dir", "ship", "staged", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
