@@ -41,9 +41,9 @@ from lakeloom.llm.byte_bpe import batches
 from lakeloom.llm.common import doc_text, drop, ship, staged
 from lakeloom.llm.hashing import shingle_sets
 
-#: Cells of the frequency sketch and bits of the Bloom filter (both powers of two); what a task must see to report a
+#: Cells of the frequency sketch (a power of two) and log2 of the Bloom filter's bits; what a task must see to report a
 #: cell, and what all tasks must.
-CELLS, BLOOM_BITS, LEAST_SEEN, LEAST_TOTAL = 1 << 22, 1 << 26, 6, 12
+CELLS, BLOOM_WIDTH, LEAST_SEEN, LEAST_TOTAL = 1 << 22, 26, 6, 12
 MOST_MATCHES = 8
 #: Cost of testing a candidate (two sets travel) against that of a posting; other texts met at a shingle not in the sketch.
 TEST_COST, RARE = 200, 0.1
@@ -215,14 +215,16 @@ def least_needed(percent: int) -> Column:
 
 
 def bit_of(k: int) -> Column:
-    return F.pmod(F.xxhash64("node", F.coalesce("doc_id", F.lit(0).cast("long")), F.lit(k)), F.lit(BLOOM_BITS))
+    """A node is a hash already, so its own bits serve; a doc_id changes the low ones."""
+    key = F.col("node").bitwiseXOR(F.coalesce("doc_id", F.lit(0).cast("long")))
+    return F.shiftrightunsigned(key, BLOOM_WIDTH * k).bitwiseAND(F.lit((1 << BLOOM_WIDTH) - 1))
 
 
 def bloom(owners: DataFrame) -> np.ndarray:
-    """BLOOM_BITS bits, two for each (node, doc_id)."""
+    """2 ** BLOOM_WIDTH bits, two for each (node, doc_id)."""
     bit = F.explode(F.array(*(bit_of(k) for k in range(2)))).alias("bit")
     words = owners.select(bit).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    out = np.zeros((1 << BLOOM_WIDTH) // 64, np.int64)
     out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out
 
@@ -236,23 +238,20 @@ def class_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -
     maybe = docs.sparkSession.sparkContext.broadcast(bloom(owners))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, mask = maybe.value, (1 << BLOOM_WIDTH) - 1
         for part in parts:
             for ids, sets in _sets(part, width):
-                made = [(node_of(s), i, s.tobytes()) for i, s in zip(ids, sets, strict=True) if len(s)]
-                if made:
-                    yield _columns(made, [pa.int64(), pa.int64(), pa.binary()], ["node", "doc_id", "shingles"])
-
-    def in_bloom(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = maybe.value
-        for part in parts:
-            ok = np.ones(part.num_rows, bool)
-            for k in (2, 3):
-                at = part.column(k).to_numpy()
-                ok &= (bits[at >> 6] >> (at & 63)) & 1 == 1
-            yield part.filter(pa.array(ok)).select(["node", "shingles"])
-
-    made = doc_text(docs).mapInArrow(run, "node long, doc_id long, shingles binary")
-    return made.select("node", "shingles", *(bit_of(k).alias(f"b{k}") for k in range(2))).mapInArrow(in_bloom, "node long, shingles binary")
+                rows = []
+                for i, s in zip(ids, sets, strict=True):
+                    if len(s):
+                        node = node_of(s)
+                        key = (node ^ (i or 0)) & 0xFFFFFFFFFFFFFFFF
+                        if all(int(bits[at >> 6]) >> (at & 63) & 1 for at in (key & mask, key >> BLOOM_WIDTH & mask)):
+                            rows.append((node, s.tobytes()))
+                if rows:
+                    yield _columns(rows, [pa.int64(), pa.binary()], ["node", "shingles"])
+
+    return doc_text(docs).mapInArrow(run, "node long, shingles binary")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
