@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import byte_bpe, iso_media, jaccard_join, katz, packing, quality, secrets, token_count, toxicity, warc
 from lakeloom.llm.common import table
+from lakeloom.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,3 @@ def op10_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_byte_bpe, op3_katz, op4_packing, op5_toxicity, op6_warc, op7_token_count, op8_quality_rules, op9_jaccard_join, op10_iso_media)}
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
