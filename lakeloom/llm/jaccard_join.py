@@ -151,15 +151,14 @@ def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
     its place is the least_needed() of its list, at least.
     """
     every = staged(rows, "postings")
-    lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("heat"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = every.join(lists.select("token", "heat"), "token").repartition("node")  # one exchange for the copies of a class and for places
-    once = shared.groupBy("node", "token").agg(F.max("heat").alias("heat"), F.max("n").alias("n"), F.max("l").alias("l"))
+    bounds = (F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
+    lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("heat"), F.min("node").alias("low"), F.max("node").alias("high"), *bounds).where("low <> high").drop("low", "high")
+    shared = every.join(lists, "token").repartition("node")  # one exchange for the copies of a class and for places
+    once = shared.groupBy("node", "token").agg(*(F.max(c).alias(c) for c in ("heat", "n", "l", "n_lo", "n_hi", "l_lo")))
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
-    placed = staged(once.select("token", "node", "n", "l", place.alias("place")), "placed")
+    placed = once.withColumn("place", place).where(F.col("place") >= least_needed(percent))
+    core = staged(placed.select("token", "node", "n", "l", "place"), "core")
     drop(every)
-    bounds = placed.groupBy("token").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
-    core = staged(placed.join(bounds, "token").where(F.col("place") >= least_needed(percent)).select(placed.columns), "core")
-    drop(placed)
     return core
 
 
