@@ -44,6 +44,7 @@ from lakeloom.llm.hashing import shingle_sets
 #: Cells of the frequency sketch (a power of two) and log2 of the Bloom filter's bits; what a task must see to report a
 #: cell, and what all tasks must.
 CELLS, BLOOM_WIDTH, LEAST_SEEN, LEAST_TOTAL = 1 << 22, 26, 6, 12
+#: Below 16, as postings travel with four bits for it.
 MOST_MATCHES = 8
 #: Cost of testing a candidate (two sets travel) against that of a posting; other texts met at a shingle not in the sketch.
 TEST_COST, RARE = 200, 0.1
@@ -152,8 +153,11 @@ def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
     """
     every = staged(rows, "postings")
     lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("heat"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = every.join(lists.select("token", "heat"), "token").repartition("node")  # one exchange for the copies of a class and for places
-    once = shared.groupBy("node", "token").agg(F.max("heat").alias("heat"), F.max("n").alias("n"), F.max("l").alias("l"))
+    # n and l travel as one number.
+    small = every.select("token", "node", (F.col("n").cast("long") * 16 + F.col("l")).alias("nl"))
+    shared = small.join(lists.select("token", "heat"), "token").repartition("node")  # one exchange for the copies of a class and for places
+    sized = shared.groupBy("node", "token").agg(F.max("heat").alias("heat"), F.max("nl").alias("nl"))
+    once = sized.select("node", "token", "heat", F.shiftright("nl", 4).cast("int").alias("n"), F.col("nl").bitwiseAND(15).cast("int").alias("l"))
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
     placed = staged(once.select("token", "node", "n", "l", place.alias("place")), "placed")
     drop(every)
