@@ -16,6 +16,7 @@ Memory: a worker keeps the words it has met in a dictionary, emptied at CACHE_WO
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -29,26 +30,30 @@ from lakeloom.llm.common import doc_text, ship
 #: Pretokens over so many bytes are contracted with a heap.
 LONG_WORD = 256
 #: Words for one recursive query, and words that a worker remembers.
-QUERY_WORDS, CACHE_WORDS = 40_000, 400_000
+QUERY_WORDS, CACHE_WORDS = 40_000, 1_000_000
 #: Characters that \s matches in the split pattern (Unicode White_Space).
 WHITE = frozenset(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
-#: A position's key is word << 10 | place; n is the key of the next position, so neighbours meet in a hash join. The
-#: least rank << 20 | place of a word is its leftmost pair of the least rank.
+#: A position's key k is word << 10 | place; n is the key of the next position and u its token, so pairs need no join of
+#: positions. The least rank << 20 | place of a word is its leftmost pair of the least rank; only the position that this
+#: pair swallows is looked up, for its n and u.
 ENCODE = """
 CREATE OR REPLACE TEMP TABLE sequences AS
-WITH RECURSIVE step(it, w, k, n, t) AS (
-    SELECT 0::INT, w, (w::BIGINT << 10) | p, (w::BIGINT << 10) | (p + 1), t FROM symbols
+WITH RECURSIVE step(it, w, k, n, t, u) AS (
+    SELECT 0::INT, w, (w::BIGINT << 10) | p, (w::BIGINT << 10) | (p + 1), t, u FROM symbols
     UNION ALL
     (WITH pairs AS (
-        SELECT a.w, (rank::BIGINT << 20) | (a.k & 1023) AS best, b.k AS gone, b.n AS after
-        FROM step a JOIN step b ON a.n = b.k JOIN merges ON pair = ((a.t::BIGINT << 24) | b.t)
-    ), picks AS (
-        SELECT w, min(best) AS best, arg_min(gone, best) AS gone, arg_min(after, best) AS after FROM pairs GROUP BY w
+        SELECT w, (rank::BIGINT << 20) | (k & 1023) AS best, n FROM step JOIN merges ON pair = ((t::BIGINT << 24) | u)
+    ), least AS MATERIALIZED (
+        SELECT w, min(best) AS best, arg_min(n, best) AS gone FROM pairs GROUP BY w
+    ), picks AS MATERIALIZED (
+        SELECT least.w, (least.w::BIGINT << 10) | (best & 1023) AS kept, (best >> 20)::INT AS made, gone, n AS n_gone, u AS u_gone
+        FROM least JOIN step ON k = gone
     )
     SELECT it + 1, w, k,
-        CASE WHEN (k & 1023) = (best & 1048575) THEN after ELSE n END,
-        CASE WHEN (k & 1023) = (best & 1048575) THEN (best >> 20)::INT ELSE t END
+        CASE WHEN k = kept THEN n_gone ELSE n END,
+        CASE WHEN k = kept THEN made ELSE t END,
+        CASE WHEN k = kept THEN u_gone WHEN n = kept THEN made ELSE u END
     FROM step JOIN picks USING (w) WHERE k <> gone)
 ), last AS (SELECT w, max(it) AS it FROM step GROUP BY w)
 SELECT w, k, t FROM step JOIN last USING (w, it)
@@ -56,7 +61,7 @@ SELECT w, k, t FROM step JOIN last USING (w, it)
 
 #: The ids as decimal text, and the bytes they stand for.
 DECODE = """
-SELECT w, count(*) AS n, string_agg(t::VARCHAR, ',' ORDER BY k) AS ids, unhex(string_agg(hex, '' ORDER BY k)) AS bytes
+SELECT w, array_to_string(list(t ORDER BY k), ',') AS ids, unhex(array_to_string(list(hex ORDER BY k), '')) AS bytes
 FROM sequences JOIN vocabulary USING (t) GROUP BY w
 """
 
@@ -72,6 +77,9 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {k: t for t, k in self.ranks.items()}
         self.split = regex.compile(pattern).findall
+        # Whether a run of letters, with or without a space before it, is always one pretoken.
+        first, found, _ = pattern.partition(r"| ?\p{L}+|")
+        self.letters = bool(found) and all(a.startswith("'") for a in first.split("|"))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs, rank = [], []
         for token, k in self.ranks.items():
@@ -89,39 +97,43 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def code(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids as decimal text, decoded bytes) of each word (a pretoken's bytes)."""
+    def code(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """(ids as decimal text, decoded bytes) of each word (a pretoken's bytes)."""
         out: list = [None] * len(words)
         todo = []
         for i, w in enumerate(words):
             if (k := self.ranks.get(w)) is not None:
-                out[i] = (1, str(k), self.tokens[k])
+                out[i] = (str(k), self.tokens[k])
             elif len(w) > LONG_WORD:
                 ids = self.heap_encode(w)
-                out[i] = (len(ids), ",".join(map(str, ids)), b"".join([self.tokens[t] for t in ids]))
+                out[i] = (",".join(map(str, ids)), b"".join([self.tokens[t] for t in ids]))
             elif w:
                 todo.append(i)
             else:
-                out[i] = (0, "", b"")
+                out[i] = ("", b"")
         for start in range(0, len(todo), QUERY_WORDS):
             part = todo[start : start + QUERY_WORDS]
             lengths = np.array([len(words[i]) for i in part])
             data = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
-            begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            symbols = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "p": (np.arange(len(data)) - begin).astype(np.int32), "t": self.byte_ids[data]})
+            ends = np.cumsum(lengths)
+            places = (np.arange(len(data)) - np.repeat(ends - lengths, lengths)).astype(np.int32)
+            tokens = self.byte_ids[data]
+            following = np.append(tokens[1:], np.int32(-1))
+            following[ends - 1] = -1
+            symbols = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "p": places, "t": tokens, "u": following})
             self.db.register("symbols", symbols)
             try:
                 self.db.execute(ENCODE)
                 found = self.db.sql(DECODE).to_arrow_table()
             finally:
                 self.db.unregister("symbols")
-            for w, n, ids, plain in zip(*(c.to_pylist() for c in found.columns), strict=True):
-                out[part[w]] = (n, ids, plain)
+            for w, *both in zip(*(c.to_pylist() for c in found.columns), strict=True):
+                out[part[w]] = tuple(both)
         return out
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word."""
-        return [numbers(ids) for _, ids, _ in self.code(words)]
+        return [numbers(ids) for ids, _ in self.code(words)]
 
     def heap_encode(self, word: bytes) -> list[int]:
         """The same contraction for one long word, in n log n."""
@@ -152,6 +164,10 @@ class Codec:
                 offer(before[i])
         return [self.ranks[t] for t, live in zip(token, alive, strict=True) if live]
 
+    def is_word(self, unit: str) -> bool:
+        """Whether the unit is one pretoken of letters (what str.isalpha takes, the pattern's \\p{L} takes too)."""
+        return self.letters and (unit[1:].isalpha() if unit[:1] == " " else unit.isalpha())
+
     def pieces(self, text: str) -> list[str]:
         """Units that split alike alone and in the text: it is cut before each space that a non-white character follows."""
         first, *rest = text.split(" ")
@@ -174,7 +190,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 class Cache:
-    """unit -> (number of ids, their decimal text, decoded bytes), for all units of a batch at a time."""
+    """unit -> (its ids as decimal text, decoded bytes), for all units of a batch at a time."""
 
     def __init__(self, own: Codec):
         self.own, self.units = own, {}
@@ -183,15 +199,20 @@ class Cache:
         new = [u for u in units if u not in self.units]
         if len(self.units) + len(new) > CACHE_WORDS:
             self.units, new = {}, list(units)
-        parts = [self.own.split(u) for u in new]
-        words = list({w for p in parts for w in p})
-        of_word = dict(zip(words, self.own.code([w.encode() for w in words]), strict=True))
-        for u, p in zip(new, parts, strict=True):
-            if len(p) == 1:
-                self.units[u] = of_word[p[0]]
+        whole, mixed = [], {}
+        for u in new:
+            if self.own.is_word(u):
+                whole.append(u)
             else:
-                n, ids, plain = zip(*[of_word[w] for w in p], strict=True) if p else ((), (), ())
-                self.units[u] = (sum(n), ",".join(ids), b"".join(plain))
+                mixed[u] = self.own.split(u)
+        words = list({w for p in mixed.values() for w in p}.difference(whole))
+        coded = self.own.code([w.encode() for w in (*whole, *words)])
+        self.units.update(zip(whole, coded))
+        if mixed:
+            of_word = dict(zip((*whole, *words), coded, strict=True))
+            for u, p in mixed.items():
+                ids, plain = zip(*[of_word[w] for w in p], strict=True) if p else ((), ())
+                self.units[u] = (",".join(ids), b"".join(plain))
 
 
 _caches: dict[tuple[str, str], Cache] = {}
@@ -217,25 +238,30 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         cache = _caches.setdefault((path, pattern), Cache(own))
-        for part in parts:
-            rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-            for some in batches(rows):
-                units = [own.pieces(text) for _, text in some]
-                cache.learn(set().union(*units))
-                n, ids, plain, lists = [], [], [], []
-                for us in units:
-                    found = [cache.units[u] for u in us]
-                    n.append(sum(f[0] for f in found))
-                    ids.append(hashlib.sha256(",".join([f[1] for f in found if f[0]]).encode()).hexdigest())
-                    plain.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+        gc.disable()  # units and their ids have no cycles, and passes over all of them take a fifth of the time
+        try:
+            for part in parts:
+                rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+                for some in batches(rows):
+                    units = [own.pieces(text) for _, text in some]
+                    cache.learn(set().union(*units))
+                    n, ids, plain, lists = [], [], [], []
+                    for us in units:
+                        decimal, decoded = zip(*map(cache.units.__getitem__, us), strict=True) if us else ((), ())
+                        sequence = ",".join(filter(None, decimal))
+                        n.append(sequence.count(",") + bool(sequence))
+                        ids.append(hashlib.sha256(sequence.encode()).hexdigest())
+                        plain.append(hashlib.sha256(b"".join(decoded)).hexdigest())
+                        if with_ids:
+                            lists.append(numbers(sequence))
+                    columns = [pa.array([i for i, _ in some], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     if with_ids:
-                        lists.append([t for f in found for t in numbers(f[1])])
-                columns = [pa.array([i for i, _ in some], pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                        columns.append(pa.array(lists, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            gc.enable()
 
     ship(docs.sparkSession)
     return doc_text(docs).mapInArrow(run, schema)
