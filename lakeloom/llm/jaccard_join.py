@@ -151,8 +151,11 @@ def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
     its place is the least_needed() of its list, at least.
     """
     every = staged(rows, "postings")
-    lists = every.groupBy("token").agg(F.count(F.lit(1)).alias("heat"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = every.join(lists.select("token", "heat"), "token").repartition("node")  # one exchange for the copies of a class and for places
+    by_token = every.repartition("token")
+    # The aggregates read all columns, so that they and the join share one exchange; both stream over a list's rows.
+    extent = [F.count(F.lit(1)).alias("heat"), F.min("node").alias("low"), F.max("node").alias("high"), F.min("n").alias("n_lo"), F.min("l").alias("l_lo")]
+    lists = by_token.groupBy("token").agg(*extent).where("low <> high AND n_lo > 0 AND l_lo > 0")
+    shared = by_token.join(lists.select("token", "heat"), "token").repartition("node")  # one exchange for the copies of a class and for places
     once = shared.groupBy("node", "token").agg(F.max("heat").alias("heat"), F.max("n").alias("n"), F.max("l").alias("l"))
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
     placed = staged(once.select("token", "node", "n", "l", place.alias("place")), "placed")
