@@ -61,7 +61,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 def _sets(part: pa.RecordBatch, width: int):
     rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-    for some in batches(rows, 4 << 20):
+    for some in batches(rows, 1 << 20):
         yield [i for i, _ in some], shingle_sets([t for _, t in some], width)
 
 
