@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
 
         for part in parts:
             rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-            for some in batches(rows):
+            for some in batches(rows, 2 << 20):
                 for (doc_id, _), ids in zip(some, words.encode([t for _, t in some]), strict=True):
                     ids += end
                     n = len(ids) // 4
