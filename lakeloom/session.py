@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+BATCH_ROWS, MOST_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,9 +50,18 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Rows go to Python workers a thousand at a time meanwhile, unless the session asks for fewer: whole texts and sets are large.
+    """
+    path, conf = scratch(df.sparkSession, what), df.sparkSession.conf
+    given = conf.get(BATCH_ROWS)
+    few = 0 < int(given) < MOST_BATCH_ROWS
+    conf.set(BATCH_ROWS, given if few else str(MOST_BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_ROWS, given)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out
