@@ -41,3 +41,10 @@ def test_documents(spark, sf, library):
 
 def test_empty_table(empty):
     assert byte_bpe.encode(empty, PATH, P.PATTERN).count() == 0
+
+
+def test_letters_are_one_pretoken():
+    own = byte_bpe.codec(PATH, P.PATTERN)
+    for unit in (f"{space}{chr(c)}" for c in range(0x110000) if chr(c).isalpha() for space in ("", " ")):
+        assert own.is_word(unit) and own.split(unit) == [unit]
+    assert not any(map(own.is_word, ("", " ", "a b", "a1", "'s", "  a")))
