@@ -48,6 +48,8 @@ MOST_MATCHES = 8
 #: Cost of testing a candidate (two sets travel) against that of a posting; other texts met at a shingle not in the sketch.
 TEST_COST, RARE = 200, 0.1
 SEEN_NODES = 500_000
+#: log2 of the numbers in a block of a table that executors pack for the driver.
+BLOCK_WIDTH = 14
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -95,13 +97,35 @@ def classify(docs: DataFrame, width: int) -> DataFrame:
     return doc_text(docs).mapInArrow(run, "doc_id long, n long, node long, cell long, seen long")
 
 
+def packed(rows: DataFrame, size: int, kind: type) -> np.ndarray:
+    """size numbers: the second column of each row, at the place that the first names; the others are 0.
+
+    Executors write the rows into blocks of bytes, so a full table costs the driver its bytes and not millions of rows.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for part in parts:
+            at, value = (part.column(k).to_numpy() for k in range(2))
+            which = at >> BLOCK_WIDTH
+            for b in np.unique(which).tolist():
+                own = which == b
+                blocks.setdefault(b, np.zeros(1 << BLOCK_WIDTH, kind))[at[own] & ((1 << BLOCK_WIDTH) - 1)] = value[own]
+        for b, cells in blocks.items():
+            yield _columns([(b, cells.tobytes())], [pa.int64(), pa.binary()], ["block", "cells"])
+
+    at, value = rows.columns
+    dealt = rows.select(F.col(at).cast("long").alias("at"), value).repartition(F.shiftright("at", BLOCK_WIDTH))
+    out = np.zeros(-(-size >> BLOCK_WIDTH) << BLOCK_WIDTH, kind)
+    for b, cells in dealt.mapInArrow(run, "block long, cells binary").collect():
+        out[b << BLOCK_WIDTH : (b + 1) << BLOCK_WIDTH] = np.frombuffer(cells, kind)
+    return out[:size]
+
+
 def frequency_levels(rows: DataFrame) -> np.ndarray:
     """log2 of the texts seen by cell: CELLS bytes."""
     total = rows.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_TOTAL)
-    found = total.select(F.col("cell").cast("int").alias("cell"), F.floor(F.log2(F.col("seen") + 1)).cast("byte").alias("level")).toPandas()
-    levels = np.zeros(CELLS, np.uint8)
-    levels[found["cell"].to_numpy()] = found["level"].to_numpy()
-    return levels
+    return packed(total.select("cell", F.floor(F.log2(F.col("seen") + 1)).cast("byte").alias("level")), CELLS, np.uint8)
 
 
 def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -226,10 +250,8 @@ def bit_of(k: int) -> Column:
 def bloom(owners: DataFrame) -> np.ndarray:
     """2 ** BLOOM_WIDTH bits, two for each (node, doc_id)."""
     bit = F.explode(F.array(*(bit_of(k) for k in range(2)))).alias("bit")
-    words = owners.select(bit).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toPandas()
-    out = np.zeros((1 << BLOOM_WIDTH) // 64, np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+    words = owners.select(bit).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    return packed(words, (1 << BLOOM_WIDTH) // 64, np.int64)
 
 
 def class_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:

@@ -152,3 +152,30 @@ def test_least_needed_bounds_needed(spark):
 def test_clashing_columns_and_nulls(spark):
     docs = spark.createDataFrame([(1, "a b c d", 5, "x"), (1, "a b c d", 5, "x"), (2, "a b c d", 6, None), (3, None, 7, "z"), (None, "a b c d", 8, "q"), (None, None, 9, "r")], "doc_id long, text string, token int, comp string")
     assert sorted((r.token for r in J.keep_one(docs, 5, 80).collect())) == [5, 5, 7, 8, 9]
+
+
+def test_full_tables_reach_the_driver_as_bytes(spark, monkeypatch):
+    """A large input fills the sketch and the Bloom filter: their rows must not come to the driver one by one."""
+    import numpy as np
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    frames, got = {type(spark.range(1)), DataFrame}, []
+    for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+        for kind in frames:
+            if hasattr(kind, name):
+                monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), **b: got.append(x := f(self, *a, **b)) or x)
+    J.ship(spark)
+    seen = spark.range(J.LEAST_TOTAL, 200_000).select(F.lit(None).alias("n"), F.col("id").alias("cell"), F.col("id").alias("seen"))
+    levels = J.frequency_levels(seen)
+    want = np.zeros(J.CELLS, np.uint8)
+    want[J.LEAST_TOTAL : 200_000] = np.floor(np.log2(np.arange(J.LEAST_TOTAL, 200_000) + 1))
+    assert levels.dtype == np.uint8 and (levels == want).all()
+    nodes = [(1 << 63) - 1, -(1 << 63), 5, *(k * 0x9E3779B97F4A7C15 % (1 << 63) for k in range(20_000))]
+    bits = J.bloom(spark.createDataFrame([(n, k % 7) for k, n in enumerate(nodes)], "node long, doc_id long"))
+    want = np.zeros((1 << J.BLOOM_WIDTH) // 64, np.uint64)
+    for k, n in enumerate(nodes):
+        for at in ((n ^ k % 7) & ((1 << J.BLOOM_WIDTH) - 1), ((n ^ k % 7) & (1 << 64) - 1) >> J.BLOOM_WIDTH & ((1 << J.BLOOM_WIDTH) - 1)):
+            want[at >> 6] |= np.uint64(1 << (at & 63))
+    assert (bits.view(np.uint64) == want).all()
+    assert got and sum(map(len, got)) <= 600
