@@ -168,11 +168,12 @@ def postings(docs: DataFrame, levels, width: int, percent: int) -> DataFrame:
 
 
 def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
-    """Postings (token, node, n, l, place) at which a class can meet another that is similar enough.
+    """Postings (token, node, n, l, place, after) at which a class can meet another that is similar enough.
 
     place: the posting's number among the class's shared postings, longest lists first. Of the tokens that a pair shares,
     take the one with the shortest list: needed() - 1 others come before it in both classes. So a posting counts only if
     its place is the least_needed() of its list, at least.
+    after: the token of the class's next place, null at the last.
     """
     every = staged(rows, "postings")
     by_token = every.repartition("token")
@@ -181,8 +182,9 @@ def shared_postings(rows: DataFrame, percent: int) -> DataFrame:
     lists = by_token.groupBy("token").agg(*extent).where("low <> high AND n_lo > 0 AND l_lo > 0")
     shared = by_token.join(lists.select("token", "heat"), "token").repartition("node")  # one exchange for the copies of a class and for places
     once = shared.groupBy("node", "token").agg(F.max("heat").alias("heat"), F.max("n").alias("n"), F.max("l").alias("l"))
-    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("heat"), "token"))
-    placed = staged(once.select("token", "node", "n", "l", place.alias("place")), "placed")
+    order = W.partitionBy("node").orderBy(F.desc("heat"), "token")
+    place, after = F.row_number().over(order), F.lead("token").over(order)
+    placed = staged(once.select("token", "node", "n", "l", place.alias("place"), after.alias("after")), "placed")
     drop(every)
     bounds = placed.groupBy("token").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("l").alias("l_lo"))
     core = staged(placed.join(bounds, "token").where(F.col("place") >= least_needed(percent)).select(placed.columns), "core")
@@ -313,6 +315,20 @@ def components(edges: DataFrame) -> DataFrame:
         comp, comp._lakeloom_path = new.select("node", "comp"), new._lakeloom_path
 
 
+def meetings(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components at the tokens whose sizes and places allow a link.
+
+    Where the same token comes next in both classes, they meet there too, at higher places, so a pair is left to the end
+    of each run of tokens that both have.
+    """
+    rest = mixed.where("comp <> main").select("token", *(F.col(c).alias(f"{c}_r") for c in ("node", "n", "l", "comp", "place", "after")))
+    # A pair outside the token's main component would come twice.
+    once = (F.col("comp") == F.col("main")) | (F.col("node_r") < F.col("node"))
+    run_ends = F.coalesce(F.col("after") != F.col("after_r"), F.lit(True))
+    met = rest.join(mixed, "token").where((F.col("comp") != F.col("comp_r")) & once & run_ends & can_link("_r", percent))
+    return met.select(F.least("node", "node_r").alias("a"), F.greatest("node", "node_r").alias("b"))
+
+
 def open_pairs(core: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components whose sizes and places at a common token allow a link."""
     named = staged(core.join(comp, "node", "left").select(*core.columns, F.coalesce("comp", "node").alias("comp")), "named")
@@ -320,11 +336,7 @@ def open_pairs(core: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     main = counts.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = staged(named.join(main.drop("comps"), "token"), "mixed")
     drop(named)
-    rest = mixed.where("comp <> main").select("token", *(F.col(c).alias(f"{c}_r") for c in ("node", "n", "l", "comp", "place")))
-    # A pair outside the token's main component would come twice.
-    once = (F.col("comp") == F.col("main")) | (F.col("node_r") < F.col("node"))
-    met = rest.join(mixed, "token").where((F.col("comp") != F.col("comp_r")) & once & can_link("_r", percent))
-    pairs = staged(met.select(F.least("node", "node_r").alias("a"), F.greatest("node", "node_r").alias("b")).distinct(), "pairs")
+    pairs = staged(meetings(mixed, percent).distinct(), "pairs")
     drop(mixed)
     return pairs
 

@@ -179,3 +179,27 @@ def test_full_tables_reach_the_driver_as_bytes(spark, monkeypatch):
             want[at >> 6] |= np.uint64(1 << (at & 63))
     assert (bits.view(np.uint64) == want).all()
     assert got and sum(map(len, got)) <= 600
+
+
+def test_pairs_meet_at_the_ends_of_runs(spark):
+    """Classes that share dozens of tokens in their common order meet at few of them, and no pair is lost."""
+    rng = random.Random(21)
+    classes = []
+    for k in range(30):
+        own = sorted({*range(40), *(rng.randrange(40, 60) for _ in range(6))} - {rng.randrange(40) for _ in range(k % 4)})
+        classes.append((k, len(own) * 10, rng.randrange(1, 9), own, k % 7))
+    rows = []
+    for node, n, size, own, comp in classes:
+        rows += [(t, node, n, size, at + 1, own[at + 1] if at + 1 < len(own) else None, comp, 0) for at, t in enumerate(own)]
+    mixed = spark.createDataFrame(rows, "token long, node long, n int, l int, place int, after long, comp long, main long")
+    got = Counter((r.a, r.b) for r in J.meetings(mixed, 90).collect())
+    want = Counter()
+    for i, (a, n, size, own, comp) in enumerate(classes):
+        for b, n_b, size_b, own_b, comp_b in classes[:i]:
+            if comp != comp_b and 100 * min(n, n_b) >= 90 * max(n, n_b):
+                tails = [-(-90 * x // 100) - y for x, y in ((n, size), (n_b, size_b))]
+                least = max(min(size, size_b), -(-90 * (n + n_b) // 190) - max(tails))
+                want[b, a] = sum(min(own.index(t), own_b.index(t)) + 1 >= least for t in set(own) & set(own_b))
+    want = +want
+    assert set(got) == set(want) and len(want) > 200
+    assert sum(got.values()) < sum(want.values()) / 3
