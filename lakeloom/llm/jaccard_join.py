@@ -13,7 +13,9 @@
    group of near copies in about as many tests as it has members. Then only pairs that the links so far leave in
    different components can still matter, and those that meet are tested too. So no link between components is lost,
    and no group is expanded into all its pairs.
-5. Tests compare whole sets. Components are found by label propagation with pointer jumping, in tables.
+5. Tests compare whole sets, of pairs that bitmaps of the sets allow: a bit of one set alone is a shingle of it alone, so
+   no link is lost, and few sets travel for pairs that are no link. Components are found by label propagation with
+   pointer jumping, in tables.
 
 Posting lists are only ever counted by partial aggregates and met in joins, which adaptive execution can split; no list
 is gathered in a task. Tables staged on the way are deleted when nothing reads them any more.
@@ -256,35 +258,80 @@ def bloom(owners: DataFrame) -> np.ndarray:
     return packed(words, (1 << BLOOM_WIDTH) // 64, np.int64)
 
 
+def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (node ^ doc_id) the filter holds."""
+    mask, words = np.uint64((1 << BLOOM_WIDTH) - 1), bits.view(np.uint64)
+    ok = np.ones(len(keys), bool)
+    for k in range(2):
+        at = keys >> np.uint64(BLOOM_WIDTH * k) & mask
+        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return ok
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each value of the shingles' low bits, in bytes: a power of two of at least four bits a shingle."""
+    size = 1 << max(6, (4 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether two sets of n and m shingles may be linked, by their bitmaps: a bit of one alone is a shingle of it alone."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(b.reshape(-1, size), axis=0).view(np.uint64) for b in (x, y))  # a longer one folds to the shorter's bits
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * most >= percent * (n + m - most)
+
+
 def class_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the given nodes, from the row of least doc_id that has the set; a few rows more do no harm.
+    """(node, n, bits, shingles) of the given nodes, from the row of least doc_id that has the set; a few rows more do no harm.
 
-    The sets are written where they are made: the rows wanted are told by a Bloom filter, and nothing is shuffled.
+    The sets and their bitmaps are written where they are made: the rows wanted are told by a Bloom filter, and nothing is
+    shuffled.
     """
     owners = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     maybe = docs.sparkSession.sparkContext.broadcast(bloom(owners))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = maybe.value, (1 << BLOOM_WIDTH) - 1
+        names, kinds = ["node", "n", "bits", "shingles"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for part in parts:
             for ids, sets in _sets(part, width):
-                rows = []
-                for i, s in zip(ids, sets, strict=True):
-                    if len(s):
-                        node = node_of(s)
-                        key = (node ^ (i or 0)) & 0xFFFFFFFFFFFFFFFF
-                        if all(int(bits[at >> 6]) >> (at & 63) & 1 for at in (key & mask, key >> BLOOM_WIDTH & mask)):
-                            rows.append((node, s.tobytes()))
+                some = [(i or 0, node_of(s), s) for i, s in zip(ids, sets, strict=True) if len(s)]
+                ok = in_bloom(maybe.value, np.array([node ^ i for i, node, _ in some], np.int64).view(np.uint64))
+                rows = [(node, len(s), bitmap(s).tobytes(), s.tobytes()) for k, (_, node, s) in enumerate(some) if ok[k]]
                 if rows:
-                    yield _columns(rows, [pa.int64(), pa.binary()], ["node", "shingles"])
+                    yield _columns(rows, kinds, names)
 
-    return doc_text(docs).mapInArrow(run, "node long, shingles binary")
+    return doc_text(docs).mapInArrow(run, "node long, n long, bits binary, shingles binary")
+
+
+def close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bitmaps allow: no link is lost, and of the others those near the threshold are left."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x, y = ([np.frombuffer(b.as_buffer(), np.uint8) for b in part.column(k)] for k in (2, 4))
+            n, m = (part.column(k).to_pylist() for k in (3, 5))
+            ok = [may_link(*one, percent) for one in zip(x, y, n, m, strict=True)]
+            yield part.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "n_a", "y", "n_b").mapInArrow(run, "a long, b long")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) whose whole sets are similar enough; a staged table.
+
+    Bitmaps travel for all pairs, whole sets only for those that they leave; a Bloom filter tells those before a shuffle.
+    """
+    near = staged(close(pairs, sets, percent), "near")
+    maybe = pairs.sparkSession.sparkContext.broadcast(bloom(ends(near).withColumn("doc_id", F.lit(0).cast("long"))))
+
+    def wanted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield part.filter(pa.array(in_bloom(maybe.value, part.column(0).to_numpy().view(np.uint64))))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -295,7 +342,12 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield part.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    some = sets.select("node", "shingles").mapInArrow(wanted, "node long, shingles binary")
+    left = some.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = some.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    found = staged(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    drop(near)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -354,7 +406,7 @@ def link_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     core = shared_postings(postings(docs, levels, width, percent), percent)
     star = staged(pivot_pairs(core, percent), "star")
     sets = staged(class_sets(docs, rows, ends(star), width), "sets")
-    found = staged(links(star, sets, percent), "links")
+    found = links(star, sets, percent)
     comp = components(found)
     pairs = open_pairs(core, comp, percent)
     rest = staged(pairs.join(star, ["a", "b"], "left_anti"), "rest")
@@ -362,8 +414,9 @@ def link_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     if rest.limit(1).count():
         new = staged(ends(rest).join(sets.select("node").distinct(), "node", "left_anti"), "new")
         more = staged(class_sets(docs, rows, new, width), "sets")
-        comp = components(found.union(links(rest, sets.union(more), percent)))
-        drop(new, more)
+        others = links(rest, sets.union(more), percent)
+        comp = components(found.union(others))
+        drop(new, more, others)
     drop(sets, found, rest)
     return rows.where("n IS NOT NULL").select("doc_id", "n", "node"), comp
 

@@ -203,3 +203,44 @@ def test_pairs_meet_at_the_ends_of_runs(spark):
     want = +want
     assert set(got) == set(want) and len(want) > 200
     assert sum(got.values()) < sum(want.values()) / 3
+
+
+def test_bitmaps_lose_no_link():
+    import numpy as np
+
+    rng = random.Random(31)
+    told = apart = 0
+    for k in range(3000):
+        percent = rng.choice([60, 80, 90])
+        n = rng.choice([1, 2, 3, 15, 16, 17, 60, 250, 1000])
+        a = {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), n - rng.randrange(n // 3 + 1))) | {rng.getrandbits(64) for _ in range(rng.randrange(n // 3 + 2))}
+        x, y = (J.bitmap(np.array(sorted(s), np.uint64)) for s in (a, b))
+        linked = 100 * len(a & b) >= percent * len(a | b)
+        may = J.may_link(x, y, len(a), len(b), percent)
+        assert may or not linked
+        assert may == J.may_link(y, x, len(b), len(a), percent)
+        apart += 100 * len(a & b) < (percent - 15) * len(a | b)
+        told += not may and 100 * len(a & b) < (percent - 15) * len(a | b)
+    assert told > 0.9 * apart > 100
+
+
+def test_few_sets_travel_for_pairs_that_are_no_link(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    rows, sets = [], []
+    for k in range(60):
+        own = np.unique(np.concatenate([base[rng.permutation(400)[: 400 - 3 * k]], rng.integers(0, 1 << 63, 3 * k, dtype=np.uint64)]))
+        sets.append(set(own.tolist()))
+        rows.append((k, len(own), bytearray(J.bitmap(own).tobytes()), bytearray(own.tobytes())))
+    J.ship(spark)
+    table = spark.createDataFrame(rows, "node long, n long, bits binary, shingles binary")
+    pairs = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a long, b long")
+    real, near = J.staged, []
+    monkeypatch.setattr(J, "staged", lambda df, what: (out := real(df, what), what == "near" and near.append(out.count()))[0])
+    want = {(a, b) for b in range(60) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = J.links(pairs, table, 80)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 50
+    assert len(want) <= near[0] < 1.5 * len(want) < 1000
